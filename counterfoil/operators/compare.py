@@ -212,6 +212,17 @@ def _carry(df: DataFrame, key: str, pairs: Sequence[CellPair], side: str, collap
     return rows
 
 
+def _few_keys(df: DataFrame) -> DataFrame:
+    """The keys of a side, a frequent one at most 64 times.
+
+    Repeats are dropped before the shuffle. Dropping all of them would leave the
+    keys partitioned for the join, and then a frequent key of the other side
+    could not be split between tasks any more.
+    """
+    part = F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")
+    return df.select("key", part).distinct().select("key")
+
+
 def joined_rows(
     df_a: DataFrame,
     df_b: DataFrame,
@@ -223,19 +234,19 @@ def joined_rows(
 ) -> DataFrame:
     """The rows of both sides side by side, by key.
 
-    Rows that one side lacks come from anti joins against the distinct keys of
-    that side and not from an outer join: an inner and an anti join can both be
-    split on a key with very many rows, a full outer join cannot. ``collapse``
-    counts identical rows first and joins them once (``n_a``, ``n_b``).
+    Rows that one side lacks come from anti joins against the keys of that side
+    and not from an outer join: an inner and an anti join can both be split on a
+    key with very many rows, a full outer join cannot. ``collapse`` counts
+    identical rows first and joins them once (``n_a``, ``n_b``).
     """
     a = _carry(df_a, key_a, pairs, "a", collapse)
     b = _carry(df_b, key_b, pairs, "b", collapse)
     joined = a.join(b, "key")
     if join_type in ("left", "outer"):
-        alone = a.join(b.select("key").distinct(), "key", "left_anti")
+        alone = a.join(_few_keys(b), "key", "left_anti")
         joined = joined.unionByName(alone, allowMissingColumns=True)
     if join_type in ("right", "outer"):
-        alone = b.join(a.select("key").distinct(), "key", "left_anti")
+        alone = b.join(_few_keys(a), "key", "left_anti")
         joined = joined.unionByName(alone, allowMissingColumns=True)
     return joined
 

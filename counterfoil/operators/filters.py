@@ -1,7 +1,9 @@
 """Row rules: an ordered list per source, all of which a row must survive.
 
 Cells are compared as text with null as empty text unless the operator says
-otherwise, so a predicate is never null and rules combine with plain AND.
+otherwise, so a predicate is never null and rules combine with plain AND. Text
+predicates are written with null tests instead of a coalesced column where that
+says the same, since only those reach the scan as pushed filters.
 """
 
 from __future__ import annotations
@@ -30,7 +32,11 @@ def _equals(c: Column, value: Any) -> Column:
         return F.lower(nz(c)) == F.lit(str(value).lower())
     if isinstance(value, (int, float)):
         return _numeric(c, value, lambda number, bound: number == bound)
-    return nz(c) == F.lit(str(value))
+    return _is(c, str(value))
+
+
+def _is(c: Column, text: str) -> Column:
+    return nz(c) == F.lit("") if text == "" else c.eqNullSafe(F.lit(text))
 
 
 def _numeric(c: Column, value: Any, test) -> Column:
@@ -42,7 +48,13 @@ def _numeric(c: Column, value: Any, test) -> Column:
 
 def _member(c: Column, values: Sequence[Any]) -> Column:
     texts = [str(v).lower() if isinstance(v, bool) else str(v) for v in values]
-    return nz(c).isin(texts)
+    if "" in texts:
+        return c.isNull() | c.isin(texts)
+    return c.isNotNull() & c.isin(texts)
+
+
+def _contains(c: Column, text: str) -> Column:
+    return F.lit(True) if text == "" else c.isNotNull() & c.contains(F.lit(text))
 
 
 def predicate(rule: FilterRule) -> Column:
@@ -62,7 +74,7 @@ def predicate(rule: FilterRule) -> Column:
         case "less_than":
             return _numeric(c, value, lambda number, bound: number < bound)
         case "contains":
-            return nz(c).contains(F.lit(str(value)))
+            return _contains(c, str(value))
         case "matches_regex":
             return nz(c).rlike(java_pattern(str(value)))
         case "is_null":

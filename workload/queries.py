@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,19 +187,18 @@ def nrm_fixed_width(spark, folder):
     return _normalized(spark, folder, sides.CUSTOMERS, rules)
 
 
-class ShortSegment:
-    """A caller's class on pandas Series, as the job file would name it."""
-
-    def normalize(self, cells: pd.Series) -> pd.Series:
-        return cells.str.slice(0, 4)
-
-
 def dashes(c: Column) -> Column:
     return F.regexp_replace(c, "#", "-")
 
 
 @query
 def nrm_user_fn(spark, folder):
+    class ShortSegment:
+        """A caller's class on pandas Series; being local it needs no module on the workers."""
+
+        def normalize(self, cells):
+            return cells.str.slice(0, 4)
+
     rules = {
         "custom_normalizers": [
             {"function": dashes, "columns": ["name"]},
