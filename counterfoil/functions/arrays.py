@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,20 +15,35 @@ from .text import nz, strip
 JSON_STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
 JSON_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
 JSON_SCALAR = f"(?:{JSON_STRING}|-?Infinity|NaN|true|false|null|{JSON_NUMBER})"
+# How a list of scalars can begin; sends most other bracketed texts away early.
+JSON_START = r"\A\[[ \t\n\r]*(?:[\]\"0-9-]|true|false|null|NaN|Infinity)"
 MARK = "\x01"
 
 
-def _is_flat_json(t: Column) -> Column:
-    """Is the text one JSON list of scalars, with nothing before or after?
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _is_flat_json(t: Column, tokens: Column) -> Column:
+    """Is the bracketed text one JSON list of scalars, with nothing before or after?
 
-    Every scalar is replaced by a mark; what is left must be marks between
+    Mostly the scalars between commas give back the text. With other white space
+    every scalar is replaced by a mark, and what is left must be marks between
     commas. A raw control character is never valid JSON, so the mark is free.
     """
+
+    def respelled(separator: str) -> Column:
+        return F.concat(F.lit("["), F.array_join(tokens, separator), F.lit("]")) == t
+
     skeleton = F.regexp_replace(F.regexp_replace(t, JSON_SCALAR, MARK), r"[ \t\n\r]", "")
-    inner = F.substr(skeleton, F.lit(2), F.length(skeleton) - 2)
-    marks = F.forall(F.split(inner, ",", -1), lambda part: part == F.lit(MARK))
-    closed = skeleton.startswith("[") & skeleton.endswith("]")
-    return ~t.contains(MARK) & closed & ((skeleton == "[]") | marks)
+
+    def only_marks(s: Column) -> Column:
+        inner = F.split(F.substr(s, F.lit(2), F.length(s) - 2), ",", -1)
+        marks = F.forall(inner, lambda part: part == F.lit(MARK))
+        return s.startswith("[") & s.endswith("]") & ((s == "[]") | marks)
+
+    return respelled(",") | respelled(", ") | (~t.contains(MARK) & let(skeleton, only_marks))
 
 
 def _scalar_text(token: Column) -> Column:
@@ -34,9 +51,9 @@ def _scalar_text(token: Column) -> Column:
     unescaped = F.try_element_at(
         F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(1)
     )
+    unquoted = F.substr(token, F.lit(2), F.length(token) - 2)
     return (
-        F.when(token.startswith('"') & token.contains("\\"), unescaped)
-        .when(token.startswith('"'), F.substr(token, F.lit(2), F.length(token) - 2))
+        F.when(token.startswith('"'), F.when(token.contains("\\"), unescaped).otherwise(unquoted))
         .when(token == "true", F.lit("True"))
         .when(token == "false", F.lit("False"))
         .when(token == "null", F.lit("None"))
@@ -60,21 +77,26 @@ def parse_array(c: Column) -> Column:
     Null and blank cells give an empty array. Lists inside lists are not JSON
     lists of scalars and take the ``[a, b]`` way.
     """
-    t = strip(nz(c))
-    bracketed = t.startswith("[") & t.endswith("]")
-    inner = F.substr(t, F.lit(2), F.length(t) - 2)
-    tokens = F.regexp_extract_all(t, F.lit(f"({JSON_SCALAR})"), F.lit(1))
-    return _tidy(
-        F.when(t == "", F.array().cast("array<string>"))
-        .when(bracketed & _is_flat_json(t), F.transform(tokens, _scalar_text))
-        .when(bracketed, F.split(inner, ",", -1))
-        .otherwise(F.split(t, ",", -1))
-    )
+    def items(t: Column) -> Column:
+        inner = F.split(F.substr(t, F.lit(2), F.length(t) - 2), ",", -1)
+        tokens = F.regexp_extract_all(t, F.lit(f"({JSON_SCALAR})"), F.lit(1))
+        parsed = let(
+            tokens,
+            lambda k: F.when(_is_flat_json(t, k), F.transform(k, _scalar_text)).otherwise(inner),
+        )
+        return (
+            F.when(t == "", F.array().cast("array<string>"))
+            .when(~(t.startswith("[") & t.endswith("]")), F.split(t, ",", -1))
+            .when(t.rlike(JSON_START), parsed)
+            .otherwise(inner)
+        )
+
+    return _tidy(let(strip(nz(c)), items))
 
 
 def set_text(items: Column) -> Column:
     """An array as the JSON text of its sorted distinct items; null stays null."""
-    return F.to_json(F.array_sort(F.array_distinct(items)))
+    return F.to_json(F.sort_array(F.array_distinct(items)))
 
 
 def list_text(items: Column) -> Column:

@@ -29,8 +29,14 @@ def nz(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Both ends trimmed of all Unicode white space (``trim`` drops U+0020 only)."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Both ends trimmed of all Unicode white space (``trim`` drops U+0020 only).
+
+    Most cells begin and end with a visible ASCII character; they are passed
+    through without the search in the white space list.
+    """
+    first, last = F.ascii(c), F.ascii(F.substring(c, -1, 1))
+    visible = first.between(33, 126) & last.between(33, 126)
+    return F.when(visible, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def blank(c: Column) -> Column:

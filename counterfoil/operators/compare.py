@@ -71,7 +71,7 @@ class CellPair:
         if self.mapping.method == "segments":
             return segments(cell, self.mapping.lengths)
         array = cell if is_list else parse_array(cell)
-        return F.when(cell.isNotNull(), F.array_sort(F.array_distinct(array)))
+        return F.when(cell.isNotNull(), F.sort_array(F.array_distinct(array)))
 
     @property
     def has_items(self) -> bool:

@@ -261,9 +261,10 @@ def per_column(cells: DataFrame, pairs: Sequence[CellPair]) -> DataFrame:
 
 
 def mismatches_by_column(breakdown: DataFrame) -> DataFrame:
-    """Labels with mismatches and their number, to be shown in falling order."""
-    return breakdown.filter(F.col("mismatched") > 0).select(
-        "column", F.col("mismatched").alias("mismatches")
+    """Labels with mismatches and their number, most first; one row per label."""
+    found = breakdown.filter(F.col("mismatched") > 0)
+    return found.select("column", F.col("mismatched").alias("mismatches")).orderBy(
+        F.desc("mismatches"), "column"
     )
 
 

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import col, java_pattern
+from ..errors import SpecError
+from ..functions import col, java_pattern, list_text
 from ..operators import cells as cell_ops
 from ..operators import compare as cmp
 from ..operators import filters as flt
@@ -49,7 +50,7 @@ class Recon:
         spec_keys = ((source_a, spec.key_a, "A"), (source_b, spec.key_b, "B"))
         for df, key, side in spec_keys:
             if key not in df.columns:
-                raise cmp_error(side, key, df)
+                raise SpecError(f"key column {key!r} not found in source {side}: {df.columns}")
         flt.check_patterns(self.spark, self._patterns())
 
     def _patterns(self) -> list[str]:
@@ -119,8 +120,11 @@ class Recon:
 
     # -- keys ---------------------------------------------------------------
 
-    @cached_property
+    @property
     def key_counts(self) -> DataFrame:
+        """``(key, n_a, n_b)``; taken from the per-key table when that is stored already."""
+        if "key_cells" in self.__dict__:
+            return self.key_cells.select("key", "n_a", "n_b")
         a = nrm.normalize(self.filtered_a, self.spec, [self.spec.key_a])
         b = nrm.normalize(self.filtered_b, self.spec, [self.spec.key_b])
         return key_ops.key_counts(
@@ -199,7 +203,7 @@ class Recon:
         known = met.builtin_metrics(kept_a, kept_b, self.pairs)
         for metric in self.user_metrics:
             if metric.name in known or metric.name in met.TABLE_METRICS:
-                raise met.SpecError(f"metric {metric.name!r} is defined more than once")
+                raise SpecError(f"metric {metric.name!r} is defined more than once")
             known[metric.name] = metric
         return known
 
@@ -279,7 +283,7 @@ class Recon:
             F.lit(f"Source {side.upper()} has "),
             F.col("repeated").cast("string"),
             F.lit(" duplicate key(s): "),
-            _quoted_list(F.col("sample")),
+            list_text(F.col("sample")),
         )
         return self._warning(found, "import", side, "duplicate_keys_warning", message)
 
@@ -290,7 +294,7 @@ class Recon:
             F.lit(f"source_{side} has "),
             F.col("repeated").cast("string"),
             F.lit(f" duplicate key value(s) in column '{key}': "),
-            _quoted_list(F.col("sample")),
+            list_text(F.col("sample")),
             F.when(F.col("repeated") > 20, F.lit(" ...")).otherwise(F.lit("")),
             F.lit(". Duplicate keys may produce unexpected join results."),
         )
@@ -328,16 +332,6 @@ class Recon:
         return self.spark.createDataFrame(rows, ERROR_SCHEMA)
 
 
-def cmp_error(side: str, key: str, df: DataFrame) -> met.SpecError:
-    return met.SpecError(f"key column {key!r} not found in source {side}: {df.columns}")
-
-
-def _quoted_list(items: Column) -> Column:
-    from ..functions import list_text
-
-    return list_text(items)
-
-
 def reconcile(
     source_a: DataFrame, source_b: DataFrame, job: Any, **options: Any
 ) -> Recon:
@@ -350,7 +344,7 @@ def run_job(spark: SparkSession, job: Any, strict_rows: bool = True, **options:
     """Read the two files of a job, check the columns it names, and reconcile them."""
     spec = job if isinstance(job, ReconSpec) else ReconSpec.from_dict(job)
     if set(spec.sources) != {"source_a", "source_b"}:
-        raise met.SpecError("the job names no source files")
+        raise SpecError("the job names no source files")
     a = read_source(spark, spec.sources["source_a"], strict=strict_rows).table
     b = read_source(spark, spec.sources["source_b"], strict=strict_rows).table
     spec.check(a.columns, b.columns)

@@ -43,6 +43,13 @@ ORDER = {
     "normalization_log": ("source", "step"),
     "filter_log": ("stage", "source", "rule_index"),
 }
+# Rows that a preview shows unless told otherwise (fixed values).
+PREVIEW = {
+    "unmatched_records": 100,
+    "mismatch_details": 500,
+    "normalization_log": 200,
+    "filter_log": 200,
+}
 # Sections with as many rows as the job has rules, columns or metrics.
 SMALL = ("summary", "per_column_breakdown", "normalization_log", "filter_log")
 
@@ -66,9 +73,9 @@ class Report:
             raise SpecError(f"unknown section {name!r}; known: {', '.join(SECTIONS)}")
         return build[name]()
 
-    def preview(self, name: str, n: int) -> DataFrame:
+    def preview(self, name: str, n: int | None = None) -> DataFrame:
         """The first rows of a section in its order; finds them without a full sort."""
-        return self.section(name).orderBy(*ORDER[name]).limit(n)
+        return self.section(name).orderBy(*ORDER[name]).limit(n or PREVIEW.get(name, 100))
 
     def size(self, name: str) -> DataFrame:
         """One row: how many rows the whole section has."""
@@ -88,7 +95,8 @@ class Report:
     ) -> list[str]:
         """Write each enabled section as a dataset below ``folder``.
 
-        Large sections are written by all tasks; ``ordered`` sorts them over the
+        Delimited files get titled columns, other formats all columns of the
+        section as they are. Large sections are written by all tasks; ``ordered`` sorts them over the
         whole dataset, otherwise each file is sorted by itself, which saves one
         shuffle of the section.
         """
@@ -102,16 +110,20 @@ class Report:
             else:
                 df = df.sortWithinPartitions(*ORDER[name])
             path = f"{folder}/{name}"
-            writer = _titled(df, name).write.mode("overwrite")
             if format == "csv":
-                writer = writer.option("header", True).option("escape", '"').option("quoteAll", False)
-                writer = writer.option("emptyValue", "").option("nullValue", "")
-                writer = writer.option("ignoreLeadingWhiteSpace", False)
-                writer = writer.option("ignoreTrailingWhiteSpace", False)
-            writer.format(format).save(path)
+                self._csv(_titled(df, name), path)
+            else:
+                df.write.mode("overwrite").format(format).save(path)
             paths.append(path)
         return paths
 
+    @staticmethod
+    def _csv(df: DataFrame, path: str) -> None:
+        writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+        for side in ("ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"):
+            writer = writer.option(side, False)
+        writer.option("emptyValue", "").csv(path)
+
 
 def _titled(df: DataFrame, name: str) -> DataFrame:
     """Columns of the section under their titles; lists as JSON text."""

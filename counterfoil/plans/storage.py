@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder that the cluster names, if it names one."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -14,7 +19,7 @@ def keep(df: DataFrame) -> DataFrame:
     computed again from the sources.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
     if folder is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     context = spark.sparkContext
