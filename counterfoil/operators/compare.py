@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,36 +128,43 @@ class CellPair:
         plain = self.mapping.method in ("exact", "tolerance")
         return not plain or self.mapping.compare_on != "display" or self.list_a or self.list_b
 
+    def _joined_texts(self) -> tuple[Column, Column]:
+        kind = "text" if self._needs_text else "shown"
+        return F.col(f"{kind}_a{self.index}"), F.col(f"{kind}_b{self.index}")
+
+    def agrees(self) -> Column:
+        """Does the joined pair match? Never null."""
+        if self.mapping.method == "set":
+            return F.col(f"items_a{self.index}").eqNullSafe(F.col(f"items_b{self.index}"))
+        if self.mapping.method == "segments":
+            return F.col(f"shown_a{self.index}").eqNullSafe(F.col(f"shown_b{self.index}"))
+        return self.agree(*self._joined_texts())
+
     def detail(self) -> Column:
         """The judgement of a joined pair as a struct."""
         i, mapping = self.index, self.mapping
         a, b = F.col(f"shown_a{i}"), F.col(f"shown_b{i}")
-        both = a.isNotNull() & b.isNotNull()
+        agrees = self.agrees()
         no_items = F.lit(None).cast("array<string>")
         only_a, only_b, common = no_items, no_items, no_items
         if self.has_items:
+            both = a.isNotNull() & b.isNotNull()
             items_a, items_b = F.col(f"items_a{i}"), F.col(f"items_b{i}")
             if mapping.method == "set":
-                equal = items_a.eqNullSafe(items_b)
                 left, right = F.array_except(items_a, items_b), F.array_except(items_b, items_a)
                 shared = F.array_intersect(items_a, items_b)
             else:
-                equal = a.eqNullSafe(b)
                 left, right, shared = _piecewise(items_a, items_b)
             only_a, only_b, common = F.when(both, left), F.when(both, right), F.when(both, shared)
             text_a = F.when(both, F.to_json(items_a)).otherwise(a)
             text_b = F.when(both, F.to_json(items_b)).otherwise(b)
         else:
-            text_a, text_b = a, b
-            if self._needs_text:
-                text_a, text_b = F.col(f"text_a{i}"), F.col(f"text_b{i}")
-            equal = self.agree(text_a, text_b)
+            text_a, text_b = self._joined_texts()
         differs = "set_diff" if mapping.method == "set" else "value_diff"
         diff_type = (
-            F.when(a.isNull() & b.isNull(), F.lit("exact_match"))
+            F.when(agrees, F.lit("exact_match"))
             .when(a.isNull(), F.lit("missing_in_a"))
             .when(b.isNull(), F.lit("missing_in_b"))
-            .when(equal, F.lit("exact_match"))
             .otherwise(F.lit(differs))
         )
         return F.struct(
@@ -166,9 +174,7 @@ class CellPair:
             b.alias("value_b"),
             text_a.alias("normalized_a"),
             text_b.alias("normalized_b"),
-            F.when(diff_type == "exact_match", F.lit("match"))
-            .otherwise(F.lit("mismatch"))
-            .alias("status"),
+            F.when(agrees, F.lit("match")).otherwise(F.lit("mismatch")).alias("status"),
             diff_type.alias("diff_type"),
             only_a.alias("only_in_a"),
             only_b.alias("only_in_b"),
@@ -252,15 +258,19 @@ def joined_rows(
 
 
 def details(joined: DataFrame, pairs: Sequence[CellPair], mismatches_only: bool = False) -> DataFrame:
-    """One row per joined row and mapping; matches are dropped before the rows multiply."""
-    judged = F.array(*(pair.detail() for pair in pairs))
+    """One row per joined row and mapping.
+
+    For the mismatches alone, rows that agree in every mapping are dropped before
+    the others multiply.
+    """
     if mismatches_only:
-        judged = F.filter(judged, lambda d: d.getField("status") == "mismatch")
+        joined = joined.filter(~reduce(lambda x, y: x & y, (pair.agrees() for pair in pairs)))
     head: list[Column] = [F.col("key")]
     if "n_a" in joined.columns:
         times = F.coalesce("n_a", F.lit(1)) * F.coalesce("n_b", F.lit(1))
         head.append(times.alias("pairs"))
-    return joined.select(*head, F.inline(judged))
+    judged = joined.select(*head, F.inline(F.array(*(pair.detail() for pair in pairs))))
+    return judged.filter(F.col("status") == "mismatch") if mismatches_only else judged
 
 
 def empty_details(df: DataFrame) -> DataFrame:

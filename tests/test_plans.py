@@ -104,3 +104,31 @@ def test_a_hot_key_is_split_between_tasks(spark, no_broadcast):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_side_marked_for_broadcast_is_sent_to_the_tasks(spark, no_broadcast):
+    from pyspark.sql import functions as F
+
+    from counterfoil import reconcile
+    from workload.jobs import orders_job
+
+    b = F.broadcast(sides.ORDERS_B.frame(spark, FOLDER))
+    text = plan(reconcile(sides.ORDERS_A.frame(spark, FOLDER), b, orders_job()).details())
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_bucketed_sides_are_not_shuffled(spark, no_broadcast, tmp_path):
+    from counterfoil import reconcile
+    from workload.jobs import orders_job
+
+    tables = {}
+    for name, side, key in (("bucketed_a", sides.ORDERS_A, "k"), ("bucketed_b", sides.ORDERS_B, "order_ref")):
+        writer = side.frame(spark, FOLDER).write.mode("overwrite").bucketBy(4, key).sortBy(key)
+        writer.option("path", str(tmp_path / name)).saveAsTable(name)
+        tables[name] = spark.table(name)
+    try:
+        df = reconcile(tables["bucketed_a"], tables["bucketed_b"], orders_job()).details()
+        assert "Exchange" not in plan(df) and df.count() > 0
+    finally:
+        for name in tables:
+            spark.sql(f"DROP TABLE {name}")
