@@ -1,6 +1,6 @@
 """Column-level building blocks: text, numbers and array cells."""
 
-from .arrays import list_text, parse_array, set_text
+from .arrays import list_source, list_text, parse_array, set_text
 from .numbers import number_text, round2, safe_divide, to_number
 from .text import (
     WHITESPACE,
@@ -22,6 +22,7 @@ __all__ = [
     "collapse_spaces",
     "fixed_width",
     "java_pattern",
+    "list_source",
     "list_text",
     "number_text",
     "nz",

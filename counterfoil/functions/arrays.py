@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import number_text
-from .text import nz, strip
+from .text import SPACE, WHITESPACE, nz, strip
 
 # JSON scalars (fixed patterns). The quantifiers are possessive so that long
 # cells are matched in a loop and not by recursion.
@@ -66,32 +66,41 @@ def _scalar_text(token: Column) -> Column:
     )
 
 
-def _tidy(items: Column) -> Column:
-    """Items trimmed, empty ones dropped."""
-    return F.filter(F.transform(items, strip), lambda item: item != "")
+def _json_items(t: Column) -> Column:
+    """Items of a JSON list of scalars, trimmed and without empty ones; else null."""
+    tokens = F.regexp_extract_all(t, F.lit(f"({JSON_SCALAR})"), F.lit(1))
+    texts = let(tokens, lambda k: F.when(_is_flat_json(t, k), F.transform(k, _scalar_text)))
+    return F.filter(F.transform(texts, strip), lambda item: item != "")
 
 
-def parse_array(c: Column) -> Column:
+def _comma_items(text: Column) -> Column:
+    """Items between commas, trimmed and without empty ones.
+
+    Separators are narrowed to single commas first, so that the items need no
+    trimming one by one.
+    """
+    narrowed = F.regexp_replace(text, f"(?U)[{SPACE}]*+,[{SPACE},]*+", ",")
+    items = F.split(F.btrim(narrowed, F.lit(WHITESPACE + ",")), ",", -1)
+    return F.array_remove(items, "")
+
+
+def parse_array(c: Column, stripped: Column | None = None) -> Column:
     """A cell as ``array<string>``: JSON list, else ``[a, b]``, else ``a, b``.
 
     Null and blank cells give an empty array. Lists inside lists are not JSON
-    lists of scalars and take the ``[a, b]`` way.
+    lists of scalars and take the ``[a, b]`` way. ``stripped`` is a column that
+    holds the cell from ``list_source``; with it the generated code stays small.
     """
-    def items(t: Column) -> Column:
-        inner = F.split(F.substr(t, F.lit(2), F.length(t) - 2), ",", -1)
-        tokens = F.regexp_extract_all(t, F.lit(f"({JSON_SCALAR})"), F.lit(1))
-        parsed = let(
-            tokens,
-            lambda k: F.when(_is_flat_json(t, k), F.transform(k, _scalar_text)).otherwise(inner),
-        )
-        return (
-            F.when(t == "", F.array().cast("array<string>"))
-            .when(~(t.startswith("[") & t.endswith("]")), F.split(t, ",", -1))
-            .when(t.rlike(JSON_START), parsed)
-            .otherwise(inner)
-        )
+    t = list_source(c) if stripped is None else stripped
+    bracketed = t.startswith("[") & t.endswith("]")
+    plain = F.when(bracketed, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+    json_items = F.when(bracketed & t.rlike(JSON_START), _json_items(t))
+    return F.coalesce(json_items, _comma_items(plain))
+
 
-    return _tidy(let(strip(nz(c)), items))
+def list_source(c: Column) -> Column:
+    """The text that ``parse_array`` looks at; used many times, so worth a projection."""
+    return strip(nz(c))
 
 
 def set_text(items: Column) -> Column:

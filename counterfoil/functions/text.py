@@ -16,6 +16,8 @@ from ..errors import SpecError
 
 # Every code point that str.isspace accepts; none lies above U+3000.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# The same set for a character class under the Unicode flag ``(?U)``.
+SPACE = r"\s\x1c-\x1f"
 
 
 def col(name: str) -> Column:
@@ -60,7 +62,7 @@ def title_case(c: Column) -> Column:
 
 def collapse_spaces(c: Column) -> Column:
     """Each inner run of white space as one blank."""
-    return F.regexp_replace(c, "[" + WHITESPACE + "]+", " ")
+    return F.regexp_replace(c, f"(?U)[{SPACE}]++", " ")
 
 
 def segments(c: Column, lengths: Sequence[int]) -> Column:

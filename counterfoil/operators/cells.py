@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import col
-from .compare import DECIMAL, CellPair, exact_decimal
+from .compare import DECIMAL, CellPair, exact_decimal, keyed_rows
 
 # Repeated keys are sent to every task only when their counted size is below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -41,7 +41,7 @@ def row_pairs(join_type: str, n_a: Column, n_b: Column) -> Column:
 
 
 def _texts(df: DataFrame, key: str, pairs: Sequence[CellPair], side: str) -> DataFrame:
-    return df.filter(col(key).isNotNull()).select(
+    return keyed_rows(df, key, pairs, side).select(
         col(key).alias("key"), *(pair.text(side).alias(f"t{pair.index}") for pair in pairs)
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import col, java_pattern, list_text, parse_array, segments
+from ..functions import col, java_pattern, list_source, list_text, parse_array, segments
 from ..functions.numbers import PLAIN_NUMBER
 from ..functions.text import WHITESPACE
 from ..spec import ColumnMapping
@@ -71,9 +71,19 @@ class CellPair:
         cell, is_list = self._cell(side)
         if self.mapping.method == "segments":
             return segments(cell, self.mapping.lengths)
-        array = cell if is_list else parse_array(cell)
+        array = cell if is_list else parse_array(cell, F.col(self._source_name(side)))
         return F.when(cell.isNotNull(), F.sort_array(F.array_distinct(array)))
 
+    def _source_name(self, side: str) -> str:
+        return f"__list_source_{side}{self.index}"
+
+    def helpers(self, side: str) -> list[Column]:
+        """Columns that ``items`` and ``text`` need beside the cells."""
+        cell, is_list = self._cell(side)
+        if self.mapping.method != "set" or is_list:
+            return []
+        return [list_source(cell).alias(self._source_name(side))]
+
     @property
     def has_items(self) -> bool:
         return self.mapping.method in ("set", "segments")
@@ -209,8 +219,17 @@ def cell_pairs(
     ]
 
 
-def _carry(df: DataFrame, key: str, pairs: Sequence[CellPair], side: str, collapse: bool):
-    rows = df.filter(col(key).isNotNull()).select(
+def keyed_rows(df: DataFrame, key: str, pairs: Sequence[CellPair], side: str) -> DataFrame:
+    """Rows with a key, and the helper columns of the pairs."""
+    helpers = [c for pair in pairs for c in pair.helpers(side)]
+    rows = df.filter(col(key).isNotNull())
+    return rows.select("*", *helpers) if helpers else rows
+
+
+def _carry(
+    df: DataFrame, key: str, pairs: Sequence[CellPair], side: str, collapse: bool
+) -> DataFrame:
+    rows = keyed_rows(df, key, pairs, side).select(
         col(key).alias("key"), *(c for pair in pairs for c in pair.carried(side))
     )
     if collapse:

@@ -22,7 +22,7 @@ from ..functions import (
     col,
     collapse_spaces,
     fixed_width,
-    list_text,
+    list_source,
     nz,
     parse_array,
     strip,
@@ -44,12 +44,15 @@ CASES = {"lower": F.lower, "upper": F.upper, "title": title_case}
 
 @dataclass
 class Step:
-    """One projection and what the log says about it."""
+    """One projection and what the log says about it.
+
+    ``prepare`` adds helper columns, which the projection drops again.
+    """
 
     action: str
     rewrite: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     changed: Callable[[str, Column, Column], Column] | None = None
-    join: Callable[[DataFrame], DataFrame] | None = None
+    prepare: Callable[[DataFrame], DataFrame] | None = None
     log: dict[str, Any] = field(default_factory=dict)
     silent_at_zero: bool = False
     shadows: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
@@ -224,7 +227,13 @@ def column_step(rule: ColumnRule, columns: Sequence[str]) -> Step | None:
             # The list prints as ``[]`` at best, so any other text counts.
             return (F.coalesce(before, F.lit("nan")) != "[]").cast("bigint")
 
-        return Step("array_parse", {rule.column: parse_array}, array_changed, log=log)
+        helper = f"__list_source_{rule.column}"
+
+        def add_source(df: DataFrame) -> DataFrame:
+            return df.select("*", list_source(col(rule.column)).alias(helper))
+
+        rewrite = {rule.column: lambda c: parse_array(c, col(helper))}
+        return Step("array_parse", rewrite, array_changed, add_source, log)
     if rule.lengths is not None:
         lengths = rule.lengths
         rewrite = {rule.column: lambda c: fixed_width(c, lengths)}
@@ -325,7 +334,7 @@ def normalize(
     for step in plan_steps(df.sparkSession, spec, names, pending, df.columns):
         if not step.rewrite:
             continue
-        source = step.join(df) if step.join else df
+        source = step.prepare(df) if step.prepare else df
         shadowed = {shadow_name(n): f(col(n)) for n, f in step.shadows.items()}
         df = source.select(
             *(step.rewrite.get(n, lambda c: c)(col(n)).alias(n) for n in names),
@@ -356,7 +365,7 @@ def normalization_audit(df: DataFrame, spec: ReconSpec, source: str) -> DataFram
             continue
         counter = entries[-1][1]
         held = counters if merge else counters[:-1]
-        source_df = step.join(df) if step.join else df
+        source_df = step.prepare(df) if step.prepare else df
         after = {n: f(col(n)) for n, f in step.rewrite.items()}
         moved = sum(
             (step.changed(n, col(n), new) for n, new in after.items()), F.lit(0).cast("bigint")

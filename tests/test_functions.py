@@ -146,3 +146,13 @@ def test_patterns_match_whole_cells(apply, pattern, cells):
 def test_bad_pattern_fails_early():
     with pytest.raises(SpecError):
         java_pattern("(")
+
+
+def test_the_space_class_is_the_white_space_set(spark):
+    from pyspark.sql import functions as F
+
+    from counterfoil.functions.text import SPACE, WHITESPACE
+
+    df = spark.range(1, 0xD7FF).select("id", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    found = [chr(r.id) for r in df.filter(F.col("c").rlike(f"(?U)[{SPACE}]")).orderBy("id").collect()]
+    assert "".join(found) == WHITESPACE
