@@ -15,7 +15,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import messages
 from ..errors import SpecError
 from ..functions import blank, col, java_pattern, nz, to_number
 from ..spec import FilterRule
@@ -125,10 +127,8 @@ def filter_audit(df: DataFrame, rules: Sequence[FilterRule], source: str) -> Dat
     return df.agg(*counts).select(F.inline(F.array(*entries))).to(_schema())
 
 
-def _schema():
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(LOG_SCHEMA)
+def _schema() -> T.StructType:
+    return T.StructType.fromDDL(LOG_SCHEMA)
 
 
 def _entry(df: DataFrame, rule: FilterRule, source: str, i: int) -> Column:
@@ -136,9 +136,8 @@ def _entry(df: DataFrame, rule: FilterRule, source: str, i: int) -> Column:
     found = rule.column in df.columns
     message = None
     if not found:
-        message = (
-            f"Column '{rule.column}' not found in {source} "
-            f"(available: {list(df.columns)[:5]}...); rule skipped."
+        message = messages.RULE_SKIPPED.format(
+            column=rule.column, source=source, columns=list(df.columns)[:5]
         )
     shown = None if rule.operator in ("is_null", "is_not_null") else str(rule.value)
     return _log_struct(
@@ -166,7 +165,9 @@ def _passthrough(source: str) -> Column:
         rows_affected=F.lit(0).cast("bigint"),
         status=F.lit("passthrough"),
         message=F.concat(
-            F.lit(f"No filter rules for {source}; all "), n.cast("string"), F.lit(" row(s) retained.")
+            F.lit(messages.NO_RULES.format(source=source)),
+            n.cast("string"),
+            F.lit(messages.NO_RULES_END),
         ),
     )
 

@@ -16,13 +16,16 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import messages
 from ..errors import SpecError
 from ..functions import round2, safe_divide
 from .compare import CellPair
 from .derived import Typed, kind_of, names_in, to_column
 
 FRAMES = ("source_a", "source_b", "filtered_a", "filtered_b", "keys", "cells", "details")
+# Thresholds (fixed values): mismatching cells of a risky key, rates of the bands.
 HIGH_RISK = 3
+HIGH_RATE, MEDIUM_RATE = 90, 70
 
 
 @dataclass(frozen=True)
@@ -276,9 +279,11 @@ def high_risk(cells: DataFrame, pairs: Sequence[CellPair], threshold: int = HIGH
 
 
 def rate_band(rate: Column) -> Column:
-    """high from 90, medium from 70, else low."""
+    """The rate as high, medium or low."""
     return (
-        F.when(rate >= 90, F.lit("high")).when(rate >= 70, F.lit("medium")).otherwise(F.lit("low"))
+        F.when(rate >= HIGH_RATE, F.lit("high"))
+        .when(rate >= MEDIUM_RATE, F.lit("medium"))
+        .otherwise(F.lit("low"))
     )
 
 
@@ -304,26 +309,16 @@ def summary(counts: DataFrame) -> DataFrame:
     rate = F.when(F.col("compared") == 0, F.lit(100.0)).otherwise(
         round2(safe_divide(F.col("full"), F.col("compared")) * 100)
     )
-    rows = (
-        ("Total Rows (Source A)", F.col("rows_a")),
-        ("Total Rows (Source B)", F.col("rows_b")),
-        ("Keys Compared", F.col("compared")),
-        ("Fully Matched Keys", F.col("full")),
-        ("Keys with Mismatches", F.col("compared") - F.col("full")),
-        ("Only in Source A", F.col("only_a")),
-        ("Only in Source B", F.col("only_b")),
-        ("Cell-Level Matches", F.col("matches")),
-        ("Cell-Level Mismatches", F.col("mismatches")),
-        ("Match Rate (%)", rate),
-    )
+    values = {name: F.col(name) for name in counts.columns}
+    values |= {"with_mismatches": F.col("compared") - F.col("full"), "rate": rate}
     entries = F.array(
         *(
             F.struct(
                 F.lit(i).alias("position"),
-                F.lit(name).alias("metric"),
-                value.cast("string").alias("value"),
+                F.lit(label).alias("metric"),
+                values[name].cast("string").alias("value"),
             )
-            for i, (name, value) in enumerate(rows, start=1)
+            for i, (name, label) in enumerate(messages.SUMMARY_LABELS.items(), start=1)
         )
     )
     return counts.select(F.inline(entries))

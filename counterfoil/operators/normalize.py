@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import messages
 from ..functions import (
     col,
     collapse_spaces,
@@ -217,7 +218,7 @@ def _joined_alias_step(spark, names, resolved, shadows) -> Step:
 
 def column_step(rule: ColumnRule, columns: Sequence[str]) -> Step | None:
     if rule.column not in columns:
-        message = f"Column '{rule.column}' not found; column-specific rule skipped."
+        message = messages.COLUMN_RULE_SKIPPED.format(column=rule.column)
         log = {"column": rule.column, "status": "warning", "message": message}
         return Step("column_specific", log=log)
     log = {"column": rule.column}

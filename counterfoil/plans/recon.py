@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import messages
 from ..errors import SpecError
 from ..functions import col, java_pattern, list_text
 from ..operators import cells as cell_ops
@@ -279,10 +280,11 @@ class Recon:
         df = self.source_a if side == "a" else self.source_b
         columns = key_ops.raw_key_columns(df, self.spec.key_a, self.spec.key_b)
         found = key_ops.sample_text(self.duplicate_keys(side, "raw"), columns, 5)
+        head, middle = messages.RAW_DUPLICATES
         message = F.concat(
-            F.lit(f"Source {side.upper()} has "),
+            F.lit(head.format(side=side.upper())),
             F.col("repeated").cast("string"),
-            F.lit(" duplicate key(s): "),
+            F.lit(middle),
             list_text(F.col("sample")),
         )
         return self._warning(found, "import", side, "duplicate_keys_warning", message)
@@ -290,13 +292,14 @@ class Recon:
     def _normalized_duplicates(self, side: str) -> DataFrame:
         key = self.spec.key_a if side == "a" else self.spec.key_b
         found = key_ops.sample_text(self.duplicate_keys(side), [key], 20)
+        head, middle, tail = messages.DUPLICATES
         message = F.concat(
-            F.lit(f"source_{side} has "),
+            F.lit(head.format(side=side)),
             F.col("repeated").cast("string"),
-            F.lit(f" duplicate key value(s) in column '{key}': "),
+            F.lit(middle.format(key=key)),
             list_text(F.col("sample")),
             F.when(F.col("repeated") > 20, F.lit(" ...")).otherwise(F.lit("")),
-            F.lit(". Duplicate keys may produce unexpected join results."),
+            F.lit(tail),
         )
         return self._warning(found, "compare", side, "duplicate_key_warning", message)
 
@@ -324,9 +327,8 @@ class Recon:
         for m in self.spec.mappings:
             for side, name, df in (("a", m.column_a, self.source_a), ("b", m.column_b, self.source_b)):
                 if name not in df.columns:
-                    message = (
-                        f"Column '{name}' not found in source {side.upper()} "
-                        f"(available: {list(df.columns)[:8]}); mapping '{m.label}' skipped."
+                    message = messages.MAPPING_SKIPPED.format(
+                        column=name, side=side.upper(), columns=df.columns[:8], label=m.label
                     )
                     rows.append(("compare", "column_missing", name, side, message))
         return self.spark.createDataFrame(rows, ERROR_SCHEMA)

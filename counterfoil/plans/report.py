@@ -10,29 +10,11 @@ from pyspark.sql import types as T
 
 from ..errors import SpecError
 from ..functions import col
+from ..messages import TITLES
 from ..operators.metrics import rate_band
 from ..spec import SECTIONS
 from .recon import Recon
 
-# Column titles of the delimited files (fixed values).
-TITLES = {
-    "summary": {"metric": "Metric", "value": "Value"},
-    "mismatch_details": {
-        "key": "Key",
-        "column": "Column",
-        "value_a": "Value A",
-        "value_b": "Value B",
-        "diff_type": "Diff Type",
-    },
-    "unmatched_records": {"source": "Source", "key": "Key"},
-    "per_column_breakdown": {
-        "column": "Column",
-        "matched": "Matched",
-        "mismatched": "Mismatched",
-        "total_compared": "Total",
-        "match_rate_percent": "Match Rate %",
-    },
-}
 # Order of the rows of a section; the trailing columns of the mismatches only
 # spread the rows of one key over the sorted output.
 ORDER = {

@@ -463,7 +463,7 @@ ORACLES |= {
     """,
 }
 
-# -- comparison methods of the design text -------------------------------------------------
+# -- further comparison methods -------------------------------------------------
 
 NAMES = _with(sides.CUSTOMERS, sides.CUSTOMERS_B, "k", "ref")
 NAME_PAIR = (("name", "name_b"),)

@@ -493,7 +493,7 @@ def report_sections(spark, folder):
     return result
 
 
-# -- comparison methods of the design text ------------------------------------------------
+# -- further comparison methods ------------------------------------------------
 
 
 def customers(spark: SparkSession, folder: str, mapping: dict, rules: dict | None = None) -> Recon:
