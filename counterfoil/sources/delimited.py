@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SourceError
-from ..functions import col
+from ..functions import col, nz
 from ..spec import SourceOptions
 
 # Common spellings of the character sets that the reader knows (fixed values).
@@ -132,12 +132,9 @@ def read_delimited(
         | (F.size(F.split(unquoted, sep, -1)) > len(names))
     )
     kept = [col(n) for n in (use_columns if use_columns is not None else names)]
-    rejects = raw.filter(too_long).select(
-        F.coalesce(
-            F.col(RECORD), F.concat_ws(delimiter, *(F.coalesce(col(n), F.lit("")) for n in names),
-                                       F.coalesce(F.col(EXTRA), F.lit("")))
-        ).alias("record")
-    )
+    fields_again = F.concat_ws(delimiter, *(nz(col(n)) for n in [*names, EXTRA]))
+    record = F.coalesce(F.col(RECORD), fields_again)
+    rejects = raw.filter(too_long).select(record.alias("record"))
     if strict and not rejects.isEmpty():
         raise SourceError(f"{path} has rows with more fields than the header")
     return Delimited(raw.filter(~too_long).select(*kept), rejects)
