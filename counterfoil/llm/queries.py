@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, digest_index, packing, token_rollup
+from . import byte_bpe, digest_index, near_dedup, packing, token_rollup
 from .shared import documents, shared_folder, stored
 
 QUERIES = {}
@@ -76,3 +76,8 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), vocabulary())
+
+
+@query
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, folder))
