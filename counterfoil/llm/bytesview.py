@@ -144,3 +144,30 @@ def word_hashes(chunk: Chunk, found: Words, lane: int = 0, lower: bool = False)
     data = LOWER[chunk.data] if lower else chunk.data
     family = LANES[lane]
     return family.between(family.prefix(family.table[data]), found.starts, found.ends)
+
+
+def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The index of the smallest hash (its upper half, ties to the left) in each window of `width`."""
+    if len(hashes) < width:
+        return np.zeros(0, np.int64)
+    keys = (hashes & ~U64(2**32 - 1)) | np.arange(len(hashes), dtype=U64)
+    step = 1
+    while step * 2 <= width:
+        keys = np.minimum(keys[:-step], keys[step:])
+        step *= 2
+    rest = width - step
+    keys = np.minimum(keys[: len(keys) - rest], keys[rest:])
+    return (keys & U64(2**32 - 1)).astype(np.int64)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (exclusive) of each run of equal values."""
+    if not len(values):
+        none = np.zeros(0, np.int64)
+        return none, none
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return starts, np.append(starts[1:], len(values))
+
+
+def signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))

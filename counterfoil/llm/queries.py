@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, digest_index, near_dedup, packing, token_rollup
+from . import byte_bpe, digest_index, near_dedup, packing, substring_dedup, token_rollup
 from .shared import documents, shared_folder, stored
 
 QUERIES = {}
@@ -78,6 +78,11 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), vocabulary())
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_words(documents(spark, folder))
+
+
 @query
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, folder))
