@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, digest_index, near_dedup, packing, substring_dedup, token_rollup
+from . import byte_bpe, digest_index, near_dedup, packing, substring_dedup, suffix_dedup, token_rollup
 from .shared import documents, shared_folder, stored
 
 QUERIES = {}
@@ -23,6 +23,11 @@ def vocabulary() -> packing.Vocabulary:
     return packing.Vocabulary(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(documents(spark, folder))
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     table = f"digest_index_{shared_folder(spark).rpartition('/')[2]}"
