@@ -8,7 +8,8 @@ done after a few rounds. Bands of coordinates give buckets.
 Links are those of the buckets, confirmed on the full sets. In each bucket all members are first
 held against one pivot. Only members whose components still differ afterwards are compared with
 each other, so a bucket of n members of one component costs n comparisons and no link between
-bucket mates in different components is lost. Equal sets are one node throughout.
+bucket mates in different components is lost. Equal sets are one node throughout. Before that, such
+members are held against a few more pivots in some rounds, which leaves few of them in large groups.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .components import components
 from .shared import stored
 
 FULL = U64(2**64 - 1)
+ROUNDS = 8  # of further pivots at most; what they leave open is compared pair by pair
 
 
 @dataclass(frozen=True)
@@ -175,7 +177,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, banding: Banding = Bandi
     tried = stored(shared.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     links = stored(confirmed(tried, known, percent, width))
     labels = components(links)
-    rest = stored(_open_pairs(shared, labels, percent).join(tried, ["a", "b"], "left_anti"))
+    for turn in range(ROUNDS):
+        more = stored(_further_pivots(_mixed(shared, labels), turn).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        fresh = stored(confirmed(more, known, percent, width))
+        tried = tried.union(more)
+        if fresh.isEmpty():
+            break
+        links = links.union(fresh)
+        labels = components(links)
+    rest = stored(_open_pairs(_mixed(shared, labels), percent).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = components(links.union(confirmed(rest, known, percent, width)))
 
@@ -189,11 +201,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, banding: Banding = Bandi
     )
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of bucket mates in different components whose sizes allow the similarity.
-
-    Members outside the bucket's largest component meet all others; those inside it don't meet each other.
-    """
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets whose members are in different components: each member with its component and the largest."""
     named = shared.join(labels, "node", "left").select(
         "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component")
     )
@@ -201,10 +210,31 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     mixed = sizes.groupBy("bucket").agg(
         F.max(F.struct("n", "component"))["component"].alias("major"), F.count("*").alias("parts")
     )
-    mixed = stored(mixed.filter("parts > 1").select("bucket", "major"))
-    named = stored(named.join(mixed, "bucket"))
-    minor = named.filter("component != major").select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "n_shingles", "component")])
+    return stored(named.join(stored(mixed.filter("parts > 1").select("bucket", "major")), "bucket"))
+
+
+def _further_pivots(mixed: DataFrame, turn: int) -> DataFrame:
+    """For each member outside the largest component of some bucket, two members of such components.
+
+    In each bucket one member of the largest component is picked by a hash that depends on bucket and
+    turn, and a node takes two of the picks of its buckets.
+    """
+    picks = mixed.filter("component = major").withColumn("pick", F.struct(F.xxhash64("node", "bucket", F.lit(turn)), "node"))
+    picks = stored(picks.groupBy("bucket").agg(F.min("pick")["node"].alias("pick")))
+    met = mixed.filter("component != major").select("bucket", "node").join(picks, "bucket")
+    order = F.struct(F.xxhash64("pick", "node", F.lit(turn)), "pick")
+    ends = met.groupBy("node").agg(F.array(F.min(order)["pick"], F.max(order)["pick"]).alias("picks"))
+    pairs = ends.select("node", F.explode(F.array_distinct("picks")).alias("pick"))
+    return pairs.select(F.least("node", "pick").alias("a"), F.greatest("node", "pick").alias("b")).distinct()
+
+
+def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of bucket mates in different components whose sizes allow the similarity.
+
+    Members outside the bucket's largest component meet all others; those inside it don't meet each other.
+    """
+    minor = mixed.filter("component != major").select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "n_shingles", "component")])
     small, large = F.least("n_shingles", "_n_shingles"), F.greatest("n_shingles", "_n_shingles")
     once = (F.col("component") == F.col("major")) | (F.col("_node") < F.col("node"))
-    met = minor.join(named, "bucket").filter((F.col("component") != F.col("_component")) & once & (100 * small >= percent * large))
+    met = minor.join(mixed, "bucket").filter((F.col("component") != F.col("_component")) & once & (100 * small >= percent * large))
     return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
