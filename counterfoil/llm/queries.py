@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, digest_index, near_dedup, packing, substring_dedup, suffix_dedup, token_rollup
+from . import byte_bpe, digest_index, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_rollup
 from .shared import documents, shared_folder, stored
 
 QUERIES = {}
@@ -50,6 +50,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM o
 """
 
 
+@query
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = quality_rules.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return quality_rules.quality(docs, model)
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

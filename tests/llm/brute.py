@@ -85,3 +85,19 @@ def repeated_bytes(rows, size=200):
         kept = bytes(b for b, g in zip(data, gone) if not g)
         out.append((i, len(data), sum(gone), spans, sha(kept)))
     return out
+
+
+def quality_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    text, w = text or "", words(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    grams = {}
+    for k in range(len(w) - 7):
+        grams.setdefault(tuple(w[k : k + 8]), []).append(k)
+    covered = {k + i for places in grams.values() if len(places) > 1 for k in places for i in range(8)}
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), dup, len(covered), failed
