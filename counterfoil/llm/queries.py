@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, digest_index, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_rollup
+from . import byte_bpe, digest_index, near_dedup, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_rollup
 from .shared import documents, shared_folder, stored
 
 QUERIES = {}
@@ -50,6 +50,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM o
 """
 
 
+@query
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, folder))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)

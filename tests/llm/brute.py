@@ -101,3 +101,23 @@ def quality_counts(text):
     covered = {k + i for places in grams.values() if len(places) > 1 for k in places for i in range(8)}
     failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
     return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), dup, len(covered), failed
+
+
+KEYS = re.compile("""(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_secrets(text):
+    """[(start, kind order, end)] of the base patterns."""
+    text = text or ""
+    spans = [(m.start(), 0, m.end()) for m in KEYS.finditer(text) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(spans)
+
+
+def base_row(text):
+    """n_assign, n_access, n_hex, base_sha256."""
+    spans = base_secrets(text)
+    names = ("assign", "access", "hex")
+    listed = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+    return *(sum(k == i for _, k, _ in spans) for i in range(3)), sha(listed)
