@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, digest_index, near_dedup, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_rollup
+from . import byte_bpe, digest_index, near_dedup, packing, page_extraction, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_rollup
 from .shared import documents, shared_folder, stored
 
 QUERIES = {}
@@ -23,6 +23,13 @@ def vocabulary() -> packing.Vocabulary:
     return packing.Vocabulary(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def new_index(spark: SparkSession) -> digest_index.DigestIndex:
+    """An empty index with a name of its own."""
+    name = shared_folder(spark).rpartition("/")[2]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return digest_index.DigestIndex(spark, f"digest_index_{name}", buckets)
+
+
 @query
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(documents(spark, folder))
@@ -30,10 +37,7 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    table = f"digest_index_{shared_folder(spark).rpartition('/')[2]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = digest_index.DigestIndex(spark, table, buckets)
-    return digest_index.deduplicate(documents(spark, folder), index, "documents")
+    return digest_index.deduplicate(documents(spark, folder), new_index(spark), "documents")
 
 
 ORACLES["op2_exact_dedup"] = r"""
@@ -95,6 +99,11 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), vocabulary())
 
 
+@query
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return page_extraction.main_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_words(documents(spark, folder))
