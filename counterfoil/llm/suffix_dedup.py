@@ -11,7 +11,9 @@ and not by the longest document. Segments come about like this:
 * Equal segments are one segment with a count. Where an anchor has one segment only, or a segment
   stands at several places, the count tells that its windows repeat.
 * An anchor with very many different segments (a passage common to many documents) is not put into
-  one collection. Its segments are cut into single windows, which are counted by content.
+  one collection. Its segments are cut into parts of a few windows each, by the place of the anchor in
+  the window. The bytes that all windows of a part share take the anchor's place, and the parts are
+  judged like segments. Where even these have very many kinds, single windows are counted by content.
 
 Equal texts are one text throughout.
 """
@@ -22,15 +24,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import Collection
-from .bytesview import LANES, Chunk, chunks, leftmost_minima, runs, signed
+from .bytesview import LANES, Chunk, chunks, leftmost_minima, mix, runs, signed
 from .shared import stored
 
 EMPTY = hashlib.sha256(b"").hexdigest()
-MANY = 256  # different segments of an anchor beyond which they are cut into windows
+MANY = 256  # different segments of an anchor beyond which they are cut further
+PART = 13  # windows in a part
 COLLECTION = 1 << 20  # bytes of segments in a collection, give or take an anchor's
 RUNS = "array<struct<first: int, last: int>>"
 
@@ -56,23 +59,16 @@ def repeated_bytes(docs: DataFrame, size: int = 200) -> DataFrame:
     )
     twice = stored(places.filter("min_text != max_text OR min_first != max_first").select("anchor"))
     regions = anchors.join(twice, "anchor").groupBy("text_a")
-    regions = stored(regions.agg(F.collect_set(F.struct("first", "last", "anchor")).alias("regions")))
+    regions = stored(regions.agg(F.collect_set(F.struct("first", "last", "anchor", "place")).alias("regions")))
     searched = classes.select("rid", "text_a").join(regions, "text_a")
     work = stored(searched.join(texts.select("rid", "text"), "rid").select("text_a", "text", "regions"))
 
-    segments = _segments(work, size)
-    distinct = segments.groupBy("anchor", "seg_a", "seg_b").agg(F.count("*").alias("n"), F.first("segment").alias("segment"))
-    distinct = stored(distinct)
-    groups = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    groups = stored(groups.filter("kinds > 1 AND least = 1").select("anchor", "kinds"))
-    open_ones = stored(distinct.join(groups, "anchor"))
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.length("segment") - size).alias("last")))
-    decided = distinct.filter("n > 1").select("seg_a", "seg_b", whole.cast(RUNS).alias("runs"))
-    decided = decided.union(_by_transform(open_ones.filter(F.col("kinds") <= MANY), size))
-    decided = stored(decided.union(_by_count(open_ones.filter(F.col("kinds") > MANY), size)))
+    segments = _segments(work, size).groupBy("anchor", "seg_a", "seg_b")
+    distinct = stored(segments.agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("place", "segment")]))
+    decided = stored(_repeats(distinct, size, _by_parts))
 
-    at = F.transform("runs", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), (F.col("first") + r["last"]).alias("last")))
-    covered = _segments(work, size, with_bytes=False).join(decided, ["seg_a", "seg_b"]).select("text_a", at.alias("runs"))
+    covered = _segments(work, size, with_bytes=False).join(decided, ["seg_a", "seg_b"])
+    covered = covered.select("text_a", _moved().alias("runs"))
     covered = covered.groupBy("text_a").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     partly = stored(_cut(work.select("text_a", "text").join(covered, "text_a"), size).distinct())
 
@@ -93,6 +89,26 @@ def repeated_bytes(docs: DataFrame, size: int = 200) -> DataFrame:
     )
 
 
+def _moved() -> Column:
+    """The runs, counted from `first`."""
+    first = F.col("first")
+    return F.transform("runs", lambda r: F.struct((first + r["first"]).alias("first"), (first + r["last"]).alias("last")))
+
+
+def _repeats(distinct: DataFrame, size: int, further) -> DataFrame:
+    """seg_a, seg_b, runs of windows that repeat, for different segments with their numbers of places.
+
+    `further` judges those of anchors with very many kinds.
+    """
+    groups = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    groups = stored(groups.filter("kinds > 1 AND least = 1").select("anchor", "kinds"))
+    open_ones = stored(distinct.join(groups, "anchor"))
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.length("segment") - size).alias("last")))
+    decided = distinct.filter("n > 1").select("seg_a", "seg_b", whole.cast(RUNS).alias("runs"))
+    decided = decided.union(_by_transform(open_ones.filter(F.col("kinds") <= MANY), size))
+    return decided.union(further(open_ones.filter(F.col("kinds") > MANY), size))
+
+
 def _prints(chunk: Chunk, lane: int) -> np.ndarray:
     return LANES[lane].prefix(LANES[lane].table[chunk.data])
 
@@ -115,7 +131,7 @@ def _whole(texts: DataFrame) -> DataFrame:
 
 
 def _anchors(texts: DataFrame, size: int) -> DataFrame:
-    """anchor, text_a, first, last: the windows that begin at bytes first to last have this anchor."""
+    """anchor, text_a, first, last, place: windows that begin at first to last have the anchor at first + place."""
     width = max(2, size * 12 // 25)
 
     def run(batches):
@@ -133,14 +149,16 @@ def _anchors(texts: DataFrame, size: int) -> DataFrame:
                 first, last = inside[starts], inside[ends - 1]
                 own = row[first]
                 name = LANES[0].between(prefix, chunk.bounds[:-1], chunk.bounds[1:])[own]
-                spans = [pa.array((x - chunk.bounds[own]).astype(np.int32)) for x in (first, last)]
-                yield pa.record_batch([signed(prints[minima[first]]), signed(name), *spans], ["anchor", "text_a", "first", "last"])
+                spans = (first - chunk.bounds[own], last - chunk.bounds[own], minima[first] - first)
+                spans = [pa.array(x.astype(np.int32)) for x in spans]
+                columns = [signed(prints[minima[first]]), signed(name), *spans]
+                yield pa.record_batch(columns, ["anchor", "text_a", "first", "last", "place"])
 
-    return texts.select("text").mapInArrow(run, "anchor long, text_a long, first int, last int")
+    return texts.select("text").mapInArrow(run, "anchor long, text_a long, first int, last int, place int")
 
 
 def _segments(work: DataFrame, size: int, with_bytes: bool = True) -> DataFrame:
-    """seg_a, seg_b (a fingerprint), text_a and first of each region, and its anchor and bytes if wanted."""
+    """seg_a, seg_b (a fingerprint), text_a and first of each region, and its anchor, place and bytes if wanted."""
 
     def run(batches):
         for batch in batches:
@@ -153,17 +171,17 @@ def _segments(work: DataFrame, size: int, with_bytes: bool = True) -> DataFrame:
                 row = np.repeat(np.arange(chunk.rows), counts)
                 flat, own = regions.flatten(), np.isin(row, right)
                 row = row[own]
-                first, last, anchor = (flat.field(k).to_numpy()[own] for k in ("first", "last", "anchor"))
+                first, last, anchor, spot = (flat.field(k).to_numpy()[own] for k in ("first", "last", "anchor", "place"))
                 start, end = chunk.bounds[row] + first, chunk.bounds[row] + last + size
                 prints = [signed(LANES[k].between(_prints(chunk, k), start, end)) for k in (0, 1)]
                 columns = [*prints, pa.array(names[row]), pa.array(first)]
                 if with_bytes:
                     data = chunk.data.tobytes()
                     cut = [data[a:b] for a, b in zip(start.tolist(), end.tolist())]
-                    columns += [pa.array(anchor), pa.array(cut, pa.binary())]
+                    columns += [pa.array(anchor), pa.array(spot), pa.array(cut, pa.binary())]
                 yield pa.record_batch(columns, names_out)
 
-    schema = "seg_a long, seg_b long, text_a long, first int" + ", anchor long, segment binary" * with_bytes
+    schema = "seg_a long, seg_b long, text_a long, first int" + ", anchor long, place int, segment binary" * with_bytes
     names_out = [part.split()[0] for part in schema.split(", ")]
     return work.mapInArrow(run, schema)
 
@@ -199,8 +217,46 @@ def _by_transform(segments: DataFrame, size: int) -> DataFrame:
     return dealt.select("anchor", "seg_a", "seg_b", "n", "segment").mapInArrow(run, f"seg_a long, seg_b long, runs {RUNS}")
 
 
-def _by_count(segments: DataFrame, size: int) -> DataFrame:
-    """The same for anchors with very many segments: every window is counted by its content."""
+def _by_parts(segments: DataFrame, size: int) -> DataFrame:
+    """seg_a, seg_b, runs for anchors with very many segments, cut by the place of the anchor in the window."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk in chunks(batch.column("segment")):
+                given = batch.slice(chunk.first, chunk.rows)
+                windows = np.diff(chunk.bounds) - size + 1
+                place = given.column("place").to_numpy().astype(np.int64)
+                # The anchor stands at `place` in window 0 and one byte earlier in each window after it.
+                highest, lowest = place // PART, (place - windows + 1) // PART
+                row = np.repeat(np.arange(chunk.rows), highest - lowest + 1)
+                part = highest[row] - (np.arange(len(row)) - np.searchsorted(row, row))
+                first = np.maximum(0, place[row] - part * PART - PART + 1)
+                last = np.minimum(windows[row] - 1, place[row] - part * PART)
+                origin = chunk.bounds[row]
+                start, end = origin + first, origin + last + size
+                core = origin + place[row] - part * PART
+                prints = [LANES[k].between(_prints(chunk, k), start, end) for k in (0, 1)]
+                shared = LANES[0].between(_prints(chunk, 0), core, core - PART + 1 + size)
+                shared = mix(shared + part.astype(np.uint64))
+                data = chunk.data.tobytes()
+                cut = pa.array([data[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary())
+                kept = given.select(["seg_a", "seg_b", "n"]).take(pa.array(row))
+                columns = [*kept.columns, *map(signed, [shared, *prints]), pa.array(first.astype(np.int32)), cut]
+                yield pa.record_batch(columns, names)
+
+    schema = "seg_a long, seg_b long, n long, anchor long, part_a long, part_b long, first int, segment binary"
+    names = [part.split()[0] for part in schema.split(", ")]
+    parts = stored(segments.select("seg_a", "seg_b", "n", "place", "segment").mapInArrow(run, schema))
+    distinct = parts.groupBy("anchor", F.col("part_a").alias("seg_a"), F.col("part_b").alias("seg_b"))
+    distinct = stored(distinct.agg(F.sum("n").alias("n"), F.first("segment").alias("segment")))
+    decided = stored(_repeats(distinct, size, _by_windows))
+    decided = decided.select(F.col("seg_a").alias("part_a"), F.col("seg_b").alias("part_b"), "runs")
+    found = parts.drop("segment").join(decided, ["part_a", "part_b"]).select("seg_a", "seg_b", _moved().alias("runs"))
+    return found.groupBy("seg_a", "seg_b").agg(F.flatten(F.collect_list("runs")).cast(RUNS).alias("runs"))
+
+
+def _by_windows(segments: DataFrame, size: int) -> DataFrame:
+    """The same by counting every window by its content."""
 
     def run(batches):
         for batch in batches:
