@@ -89,7 +89,7 @@ class Chunk:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
 
-def chunks(column: pa.Array, size: int = 1 << 21) -> Iterator[Chunk]:
+def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[Chunk]:
     """Consecutive rows of a string or binary column without nulls, about `size` bytes at a time.
 
     A longer text makes a chunk of its own, so memory is bounded by the size and the longest text.
