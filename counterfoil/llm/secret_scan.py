@@ -33,8 +33,10 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ASSIGN_VALUE = 8
 
 SPAN = "array<struct<start: int, end: int, text: string>>"
-# Chance that two characters of written text are equal, and that neighbours differ in kind.
-TEXT_COLLISION, TEXT_CHANGE = 0.065, 0.25
+# By alphabet: chance that two characters of something written in it are equal, and that neighbours
+# of random symbols differ in kind. Few letters fit in the smaller alphabets, so these repeat more.
+TEXT_COLLISION = {16: 0.15, 32: 0.07, 36: 0.065, 64: 0.065}
+TEXT_CHANGE = 0.25  # chance that neighbours in something written differ in kind
 CHANCE_OF_CHANGE = {16: 0.469, 32: 0.305, 36: 0.401, 64: 0.625}
 BINS, BINS_PER_HALVING = 400, 4
 
@@ -125,11 +127,10 @@ def battery(candidates: Column) -> Column:
 
     def judged(span: Column) -> Column:
         size, n = span["size"], span["n"]
-        chance = F.lit(CHANCE_OF_CHANGE[64])
-        for k in (16, 32, 36):
-            chance = F.when(size == k, CHANCE_OF_CHANGE[k]).otherwise(chance)
+        by_size = lambda known: F.element_at(F.create_map(*[F.lit(v) for k in known for v in (float(k), known[k])]), size)
+        chance = by_size(CHANCE_OF_CHANGE)
         chi = size / n * span["squares"] - n
-        excess = size * TEXT_COLLISION - 1
+        excess = size * by_size(TEXT_COLLISION) - 1
         text_mean = (size - 1) + F.greatest((n - 1) * excess, F.lit(0.0))
         text_spread = F.sqrt(2 * (size - 1) + 4 * n * F.greatest(excess, F.lit(0.0)))
         even = (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
@@ -175,7 +176,7 @@ def cutoff(scored: DataFrame, rate: float, random_level: float) -> tuple[float,
     return known["w"], best
 
 
-def scan(docs: DataFrame, rate: float = 0.01, random_level: float = 0.01, *keep: str) -> DataFrame:
+def scan(docs: DataFrame, rate: float, random_level: float, *keep: str) -> DataFrame:
     """The columns in `keep` and the spans of each kind: assign, access, hex, random; arrays of start and end.
 
     Random strings inside a span of another kind are not given again.
@@ -224,23 +225,23 @@ def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     n_chars, where docs has it, is the new number of code points of a text that changed.
     """
-    names = docs.columns
-    spans = scan(docs, 0.01, 0.01, *names)
+    row = docs.select(F.struct(*[docs[n] for n in docs.columns]).alias("_row"), "text")
+    spans = scan(row, 0.01, 0.01, "_row")
+    text, kept = F.col("_row")["text"], F.col("_row")
     every = F.array_sort(F.concat("assign", "access", "hex", "random"))
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
-        before = F.substring("text", done["at"] + 1, s["start"] - done["at"])
+        before = F.substring(text, done["at"] + 1, s["start"] - done["at"])
         fresh = F.struct(s["end"].alias("at"), F.concat(done["out"], before, F.lit(mark)).alias("out"))
         further = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))
-        return F.when((s["start"] < done["at"]) | (s["end"] <= done["at"]), further).otherwise(fresh)
+        return F.when(s["start"] < done["at"], further).otherwise(fresh)
 
-    whole = lambda done: F.concat(done["out"], F.substring("text", done["at"] + 1, F.length("text")))
+    whole = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
     changed = F.size(every) > 0
-    text = F.when(changed, F.aggregate(every, empty, step, whole)).otherwise(F.col("text"))
-    out = spans.withColumn("_masked", text)
-    kinds = dict(docs.dtypes)
-    columns = {"text": F.col("_masked")}
-    if "n_chars" in names:
-        columns["n_chars"] = F.when(changed, F.length("_masked")).otherwise(F.col("n_chars")).cast(kinds["n_chars"])
-    return out.select(*[columns.get(n, F.col(n)).alias(n) for n in names])
+    out = spans.withColumn("_text", F.when(changed, F.aggregate(every, empty, step, whole)).otherwise(text))
+    columns = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        count = F.when(changed, F.length("_text")).otherwise(kept["n_chars"])
+        columns["n_chars"] = count.cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*[columns.get(n, kept[n]).alias(n) for n in docs.columns])
