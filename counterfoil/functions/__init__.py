@@ -9,6 +9,7 @@ from .text import (
     collapse_spaces,
     fixed_width,
     java_pattern,
+    let,
     nz,
     segments,
     strip,
@@ -22,6 +23,7 @@ __all__ = [
     "collapse_spaces",
     "fixed_width",
     "java_pattern",
+    "let",
     "list_source",
     "list_text",
     "number_text",

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import number_text
-from .text import SPACE, WHITESPACE, nz, strip
+from .text import SPACE, WHITESPACE, let, nz, strip
 
 # JSON scalars (fixed patterns). The quantifiers are possessive so that long
 # cells are matched in a loop and not by recursion.
@@ -20,11 +18,6 @@ JSON_START = r"\A\[[ \t\n\r]*(?:[\]\"0-9-]|true|false|null|NaN|Infinity)"
 MARK = "\x01"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _is_flat_json(t: Column, tokens: Column) -> Column:
     """Is the bracketed text one JSON list of scalars, with nothing before or after?
 

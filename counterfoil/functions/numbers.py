@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import WHITESPACE, let
+
 # What counts as a number in a cell (fixed patterns).
 PLAIN_NUMBER = r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
 INFINITE = r"(?i)\A[+-]?inf(inity)?\z"
@@ -22,6 +24,77 @@ def to_number(c: Column) -> Column:
     ).when(c.rlike(INFINITE), c.try_cast("double"))
 
 
+# Digits before and after the point that exact numbers may have.
+WHOLE_DIGITS, FRACTION_DIGITS = 35, 30
+WHOLE, FRACTION = "decimal(38,0)", f"decimal({FRACTION_DIGITS},{FRACTION_DIGITS})"
+NUMBER_PARTS = r"\A[+-]?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?\z"
+
+
+def number_digits(c: Column) -> Column:
+    """A plain number as ``struct<minus, digits, point>`` without outer zeros, else null.
+
+    The value is 0.digits times ten to the power of point; zero has no digits.
+    """
+    t = F.btrim(c, F.lit(WHITESPACE))
+    whole, fraction, power = (F.regexp_extract(t, NUMBER_PARTS, i) for i in (1, 2, 3))
+    exponent = F.when(power == "", F.lit(0)).otherwise(power.try_cast("int"))
+    every = F.concat(whole, fraction)
+    digits = F.ltrim(every, F.lit("0"))
+    point = F.length(whole) + exponent - (F.length(every) - F.length(digits))
+    digits = F.rtrim(digits, F.lit("0"))
+    parts = F.struct(
+        (t.startswith("-") & (digits != "")).alias("minus"),
+        digits.alias("digits"),
+        F.when(digits == "", F.lit(0)).otherwise(point).alias("point"),
+    )
+    return F.when(c.rlike(PLAIN_NUMBER) & exponent.isNotNull(), parts)
+
+
+def number_key(c: Column) -> Column:
+    """One text per number, however it is written; other texts stay as they are."""
+
+    def written(n: Column) -> Column:
+        sign = F.when(n["minus"], F.lit("-")).otherwise(F.lit(""))
+        return F.concat(sign, F.lit("0."), n["digits"], F.lit("e"), n["point"].cast("string"))
+
+    return F.coalesce(let(number_digits(c), written), c)
+
+
+def exact_number(c: Column) -> Column:
+    """A plain number as ``struct<whole, part>`` with whole + part its value and 0 <= part < 1.
+
+    Null for other texts, and for numbers of more than 35 digits before or 30
+    after the point; nothing is rounded.
+    """
+
+    def split(n: Column) -> Column:
+        digits, point = n["digits"], n["point"]
+        fits = (point <= WHOLE_DIGITS) & (F.length(digits) - point <= FRACTION_DIGITS)
+        before = F.greatest(point, F.lit(0))
+        whole = F.rpad(F.substr(digits, F.lit(1), before), before, F.lit("0"))
+        zeros = F.repeat(F.lit("0"), F.least(F.greatest(-point, F.lit(0)), F.lit(FRACTION_DIGITS)))
+        part = F.concat(F.lit("0."), zeros, F.substr(digits, before + 1), F.lit("0"))
+        whole = F.when(whole == "", F.lit("0")).otherwise(whole).try_cast(WHOLE)
+        part = part.try_cast(FRACTION)
+        below = n["minus"] & (part > 0)
+        turned = F.when(below, -whole - 1).when(n["minus"], -whole).otherwise(whole)
+        rest = F.when(below, 1 - part).otherwise(part)
+        return F.when(fits, F.struct(turned.cast(WHOLE).alias("whole"), rest.cast(FRACTION).alias("part")))
+
+    return let(number_digits(c), split)
+
+
+def shifted(n: Column, distance: str, up: bool) -> Column:
+    """An exact number plus or minus a plain number that is not negative."""
+    by = exact_number(F.lit(distance))
+    part = n["part"] + by["part"] if up else n["part"] - by["part"]
+    carry = F.when(part >= 1, F.lit(1)).when(part < 0, F.lit(-1)).otherwise(F.lit(0))
+    whole = n["whole"] + by["whole"] if up else n["whole"] - by["whole"]
+    return F.struct(
+        (whole + carry).cast(WHOLE).alias("whole"), (part - carry).cast(FRACTION).alias("part")
+    )
+
+
 def safe_divide(numerator: Column, denominator: Column) -> Column:
     """Quotient as double, 0.0 when the divisor is zero or either side is null."""
     return F.coalesce(

@@ -1,18 +1,12 @@
-"""Texts of the log entries and the report (fixed values)."""
+"""Texts of the log entries (templates for ``format`` or ``format_string``) and of the report."""
 
-NO_RULES = "No filter rules for {source}; all "
-NO_RULES_END = " row(s) retained."
-RULE_SKIPPED = "Column '{column}' not found in {source} (available: {columns}...); rule skipped."
-COLUMN_RULE_SKIPPED = "Column '{column}' not found; column-specific rule skipped."
-MAPPING_SKIPPED = (
-    "Column '{column}' not found in source {side} (available: {columns}); mapping '{label}' skipped."
-)
-RAW_DUPLICATES = ("Source {side} has ", " duplicate key(s): ")
-DUPLICATES = (
-    "source_{side} has ",
-    " duplicate key value(s) in column '{key}': ",
-    ". Duplicate keys may produce unexpected join results.",
-)
+NO_RULES = "nothing to filter in %s: all %d rows pass"
+RULE_SKIPPED = "{source} lacks the column {column!r} of this rule, which lets every row pass; it has {columns}"
+COLUMN_RULE_SKIPPED = "no column {column!r} to apply this rule to"
+MAPPING_SKIPPED = "{label!r} is not compared: side {side} lacks {column!r}; it has {columns}"
+RAW_DUPLICATES = "side %s as read: %d keys stand on several rows, among them %s"
+DUPLICATES = "%s, key %s: %d keys stand on several rows and pair up with every partner, among them %s%s"
+# Labels and column titles of the report (fixed values).
 SUMMARY_LABELS = {
     "rows_a": "Total Rows (Source A)",
     "rows_b": "Total Rows (Source B)",
@@ -25,7 +19,6 @@ SUMMARY_LABELS = {
     "mismatches": "Cell-Level Mismatches",
     "rate": "Match Rate (%)",
 }
-# Column titles of the delimited report files.
 TITLES = {
     "summary": {"metric": "Metric", "value": "Value"},
     "mismatch_details": {

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col
-from .compare import DECIMAL, CellPair, exact_decimal, keyed_rows
+from ..functions.numbers import exact_number, shifted
+from .compare import CellPair, keyed_rows
 
 # Repeated keys are sent to every task only when their counted size is below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -42,7 +43,7 @@ def row_pairs(join_type: str, n_a: Column, n_b: Column) -> Column:
 
 def _texts(df: DataFrame, key: str, pairs: Sequence[CellPair], side: str) -> DataFrame:
     return keyed_rows(df, key, pairs, side).select(
-        col(key).alias("key"), *(pair.text(side).alias(f"t{pair.index}") for pair in pairs)
+        col(key).alias("key"), *(pair.counted_text(side).alias(f"t{pair.index}") for pair in pairs)
     )
 
 
@@ -81,6 +82,7 @@ def build_key_cells(
             b.join(chosen, "key", "left_semi"),
             pairs,
             count_type,
+            keep,
         )
         cells = first.filter(~repeated).unionByName(counted)
     return cells.select(
@@ -124,7 +126,11 @@ def _single_rows(
 
 
 def _counted_rows(
-    a: DataFrame, b: DataFrame, pairs: Sequence[CellPair], count_type: str
+    a: DataFrame,
+    b: DataFrame,
+    pairs: Sequence[CellPair],
+    count_type: str,
+    keep: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Agreeing pairs of repeated keys from the counts of their distinct texts."""
     one, zero = F.lit(1).cast(count_type), F.lit(0).cast(count_type)
@@ -144,10 +150,12 @@ def _counted_rows(
         .agg(total("a").alias("a"), total("b").alias("b"))
     )
     tolerant = [p for p in pairs if p.mapping.method == "tolerance"]
+    if tolerant:
+        texts = keep(texts)  # read once for the equal texts and once for each tolerance
     positions = [i for i, p in enumerate(pairs) if p in tolerant]
     same = a_count * b_count
     if tolerant:
-        numeric = F.col("i").isin(positions) & exact_decimal(F.col("t")).isNotNull()
+        numeric = F.col("i").isin(positions) & exact_number(F.col("t")).isNotNull()
         same = F.when(numeric, zero).otherwise(same)
     cells = texts.groupBy("key", "i").agg(
         total("a").alias("n_a"),
@@ -159,7 +167,7 @@ def _counted_rows(
     agreeing = F.when((n_a > 0) & (n_b > 0), F.col("same")).otherwise(F.col("empty"))
     parts = cells.select("key", "i", "n_a", "n_b", agreeing.alias("m"))
     for position, pair in zip(positions, tolerant):
-        near = _near_pairs(texts.filter(F.col("i") == position), pair.mapping.tolerance, total)
+        near = _near_pairs(texts.filter(F.col("i") == position), pair.mapping.tolerance, total, keep)
         parts = parts.unionByName(
             near.select("key", F.lit(position).alias("i"), zero.alias("n_a"), zero.alias("n_b"), "m")
         )
@@ -173,37 +181,37 @@ def _counted_rows(
     )
 
 
-def _near_pairs(texts: DataFrame, tolerance: str, total: Callable) -> DataFrame:
+def _near_pairs(
+    texts: DataFrame, tolerance: str, total: Callable, keep: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """Pairs of numbers of one key within the tolerance, counted without making them.
 
-    Numbers fall into buckets as wide as the tolerance, so near ones lie in the
-    same or the next bucket. Each number of B is placed in three buckets, and a
-    range frame inside a bucket sums the rows of B around each number of A. The
-    groups that are sorted are buckets of a key, not whole keys.
+    Along the sorted numbers a running sum counts the rows of B. Each number v of
+    A asks for the sum up to v + tolerance and for the sum before v - tolerance;
+    the difference is what is near. The rows are dealt by ranges of key and
+    number, so a key with very many numbers is spread over tasks: the sums start
+    anew in each range and the totals of the ranges before it are added.
     """
-    width = F.lit(tolerance).cast(DECIMAL)
-    exact = float(tolerance) == 0
-    value = F.col("v")
-    bucket = value if exact else F.floor(value / width).cast("decimal(38,0)")
-    numbers = texts.select("key", exact_decimal(F.col("t")).alias("v"), "a", "b").filter(
-        value.isNotNull()
-    )
-    zero = F.lit(0).cast(texts.schema["a"].dataType)
-    around = F.array(bucket) if exact else F.array(bucket - 1, bucket, bucket + 1)
-    placed = (
-        numbers.filter(F.col("a") > 0)
-        .select("key", "v", bucket.alias("bucket"), "a", zero.alias("b"))
-        .unionByName(
-            numbers.filter(F.col("b") > 0).select(
-                "key", "v", F.explode(around).alias("bucket"), zero.alias("a"), "b"
-            )
-        )
-        .groupBy("key", "bucket", "v")
-        .agg(total("a").alias("a"), total("b").alias("b"))
-    )
-    frame = (
-        f"sum(b) OVER (PARTITION BY key, bucket ORDER BY v RANGE BETWEEN "
-        f"CAST('{tolerance}' AS {DECIMAL}) PRECEDING AND CAST('{tolerance}' AS {DECIMAL}) FOLLOWING)"
-    )
-    near = placed.withColumn("near", F.expr(frame))
-    return near.groupBy("key").agg(total(F.col("a") * F.col("near")).alias("m"))
+    kind = texts.schema["a"].dataType
+    zero = F.lit(0).cast(kind)
+    numbers = texts.select("key", exact_number(F.col("t")).alias("v"), "a", "b").filter("v IS NOT NULL")
+    of_a = numbers.filter(F.col("a") > 0)
+
+    def asked(up: bool) -> DataFrame:
+        sign, turn = (1, 2) if up else (-1, 0)
+        weight = (F.col("a") * sign).cast(kind).alias("w")
+        return of_a.select("key", shifted(F.col("v"), tolerance, up).alias("v"), F.lit(turn).alias("turn"), weight, zero.alias("b"))
+
+    held = numbers.filter(F.col("b") > 0).select("key", "v", F.lit(1).alias("turn"), zero.alias("w"), "b")
+    events = held.union(asked(True)).union(asked(False)).groupBy("key", "v", "turn")
+    events = events.agg(total("w").alias("w"), total("b").alias("b"))
+    order = ["key", "v.whole", "v.part", "turn"]
+    events = keep(events.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+
+    sums = events.groupBy("key", "range").agg(total("b").alias("b"))
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("key", "range", F.coalesce(F.sum("b").over(before), zero).alias("before"))
+    inside = Window.partitionBy("key", "range").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumn("run", F.sum("b").over(inside)).join(sums, ["key", "range"])
+    return counted.groupBy("key").agg(total(F.col("w") * (F.col("run") + F.col("before"))).alias("m"))
+

@@ -11,13 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import col, java_pattern, list_source, list_text, parse_array, segments
-from ..functions.numbers import PLAIN_NUMBER
-from ..functions.text import WHITESPACE
+from ..functions import col, java_pattern, let, list_source, list_text, parse_array, segments
+from ..functions.numbers import exact_number, number_key, shifted
 from ..spec import ColumnMapping
 from .normalize import shadow_name
 
-DECIMAL = "decimal(28,10)"
 DETAIL_COLUMNS = (
     "key",
     "mapping_idx",
@@ -34,18 +32,21 @@ DETAIL_COLUMNS = (
 )
 
 
-def exact_decimal(text: Column) -> Column:
-    """A plain number with up to ten decimals, else null."""
-    return F.when(
-        text.rlike(PLAIN_NUMBER), F.btrim(text, F.lit(WHITESPACE)).try_cast(DECIMAL)
-    )
+def close(a: Column, b: Column, tolerance: str) -> Column:
+    """Numbers no further apart than the tolerance; other cells by their text.
+
+    Nothing is rounded. Numbers with more digits than ``exact_number`` takes
+    agree when they are the same number, and with no other.
+    """
 
+    def within(pair: Column) -> Column:
+        low, high = F.least(pair["a"], pair["b"]), F.greatest(pair["a"], pair["b"])
+        return high <= shifted(low, tolerance, up=True)
 
-def close(a: Column, b: Column, tolerance: str) -> Column:
-    """Numbers no further apart than the tolerance; other cells by their text."""
-    number_a, number_b = exact_decimal(a), exact_decimal(b)
-    near = F.abs(number_a - number_b) <= F.lit(tolerance).cast(DECIMAL)
-    return F.coalesce(near, a.eqNullSafe(b))
+    same = a.eqNullSafe(b)
+    both = F.struct(exact_number(a).alias("a"), exact_number(b).alias("b"))
+    near = let(F.when(~same, both), lambda p: F.when(p["a"].isNotNull() & p["b"].isNotNull(), within(p)))
+    return same | F.coalesce(near, number_key(a).eqNullSafe(number_key(b)))
 
 
 @dataclass(frozen=True)
@@ -106,6 +107,11 @@ class CellPair:
             return self._groups(cell)
         return cell
 
+    def counted_text(self, side: str) -> Column:
+        """The text by which equal cells are counted; a number has one however it is written."""
+        text = self.text(side)
+        return number_key(text) if self.mapping.method == "tolerance" else text
+
     def _groups(self, cell: Column) -> Column:
         """What the pattern's groups take from the cell; the cell when it takes nothing."""
         pattern = java_pattern(self.mapping.pattern, full=False)

@@ -137,7 +137,7 @@ def _entry(df: DataFrame, rule: FilterRule, source: str, i: int) -> Column:
     message = None
     if not found:
         message = messages.RULE_SKIPPED.format(
-            column=rule.column, source=source, columns=list(df.columns)[:5]
+            column=rule.column, source=source, columns=df.columns
         )
     shown = None if rule.operator in ("is_null", "is_not_null") else str(rule.value)
     return _log_struct(
@@ -164,11 +164,7 @@ def _passthrough(source: str) -> Column:
         rows_after=n,
         rows_affected=F.lit(0).cast("bigint"),
         status=F.lit("passthrough"),
-        message=F.concat(
-            F.lit(messages.NO_RULES.format(source=source)),
-            n.cast("string"),
-            F.lit(messages.NO_RULES_END),
-        ),
+        message=F.format_string(messages.NO_RULES, F.lit(source), n),
     )
 
 

@@ -20,7 +20,7 @@ from ..operators import metrics as met
 from ..operators import normalize as nrm
 from ..sources import profile, read_source
 from ..spec import ColumnMapping, ReconSpec
-from .storage import keep
+from .storage import drop, keep, new_path
 
 ERROR_SCHEMA = "stage string, error_type string, column string, source string, message string"
 
@@ -47,7 +47,7 @@ class Recon:
         self.user_metrics = tuple(metrics)
         self.count_type = count_type
         self.spark: SparkSession = source_a.sparkSession
-        self._kept: list[DataFrame] = []
+        self._kept: list[str] = []
         spec_keys = ((source_a, spec.key_a, "A"), (source_b, spec.key_b, "B"))
         for df, key, side in spec_keys:
             if key not in df.columns:
@@ -185,15 +185,21 @@ class Recon:
         )
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        stored = keep(df)
-        self._kept.append(stored)
-        return stored
+        self._kept.append(new_path(self.spark))
+        return keep(df, self._kept[-1])
 
     def close(self) -> None:
-        """Give back cached tables."""
-        for df in self._kept:
-            df.unpersist()
+        """Remove the stored tables; what was built on them can't be read any more."""
+        for path in self._kept:
+            drop(self.spark, path)
         self._kept.clear()
+        self.__dict__.pop("key_cells", None)
+
+    def __enter__(self) -> Recon:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     # -- metrics ------------------------------------------------------------
 
@@ -280,26 +286,21 @@ class Recon:
         df = self.source_a if side == "a" else self.source_b
         columns = key_ops.raw_key_columns(df, self.spec.key_a, self.spec.key_b)
         found = key_ops.sample_text(self.duplicate_keys(side, "raw"), columns, 5)
-        head, middle = messages.RAW_DUPLICATES
-        message = F.concat(
-            F.lit(head.format(side=side.upper())),
-            F.col("repeated").cast("string"),
-            F.lit(middle),
-            list_text(F.col("sample")),
+        message = F.format_string(
+            messages.RAW_DUPLICATES, F.lit(side.upper()), F.col("repeated"), list_text(F.col("sample"))
         )
         return self._warning(found, "import", side, "duplicate_keys_warning", message)
 
     def _normalized_duplicates(self, side: str) -> DataFrame:
         key = self.spec.key_a if side == "a" else self.spec.key_b
         found = key_ops.sample_text(self.duplicate_keys(side), [key], 20)
-        head, middle, tail = messages.DUPLICATES
-        message = F.concat(
-            F.lit(head.format(side=side)),
-            F.col("repeated").cast("string"),
-            F.lit(middle.format(key=key)),
+        message = F.format_string(
+            messages.DUPLICATES,
+            F.lit(f"source_{side}"),
+            F.lit(key),
+            F.col("repeated"),
             list_text(F.col("sample")),
             F.when(F.col("repeated") > 20, F.lit(" ...")).otherwise(F.lit("")),
-            F.lit(tail),
         )
         return self._warning(found, "compare", side, "duplicate_key_warning", message)
 
@@ -328,7 +329,7 @@ class Recon:
             for side, name, df in (("a", m.column_a, self.source_a), ("b", m.column_b, self.source_b)):
                 if name not in df.columns:
                     message = messages.MAPPING_SKIPPED.format(
-                        column=name, side=side.upper(), columns=df.columns[:8], label=m.label
+                        column=name, side=side.upper(), columns=df.columns, label=m.label
                     )
                     rows.append(("compare", "column_missing", name, side, message))
         return self.spark.createDataFrame(rows, ERROR_SCHEMA)

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The checkpoint folder that the cluster names, if it names one."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+from ..errors import SourceError
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """A stored copy that outlives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all machines reach.
 
-    With a shared folder in ``spark.checkpoint.dir`` the rows are written there
-    and the lineage ends; without one they are cached, and a lost block is
-    computed again from the sources.
+    Where a single machine runs everything, its temporary folder does as well.
     """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise SourceError("spark.checkpoint.dir must name a folder that all machines reach")
+        folder = tempfile.mkdtemp(prefix="counterfoil-")
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, path: str) -> DataFrame:
+    """The rows as stored at ``path``: pruned when read, and there when executors are lost."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove what ``keep`` has stored."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

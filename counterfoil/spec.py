@@ -278,8 +278,8 @@ class ColumnMapping:
                 raise SpecError(f"{where}: invalid pattern: {exc}") from exc
         if self.method == "tolerance":
             _require(
-                re.fullmatch(r"\d{1,18}(\.\d{1,10})?", self.tolerance or "") is not None,
-                f"{where}: tolerance must be a plain number with at most ten decimals",
+                re.fullmatch(r"\d{1,35}(\.\d{1,30})?", self.tolerance or "") is not None,
+                f"{where}: tolerance must be a plain number with at most 35 digits before and 30 after the point",
             )
         if self.method == "segments":
             _require(bool(self.lengths), f"{where}: segments needs lengths")

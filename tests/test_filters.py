@@ -55,14 +55,15 @@ def test_rules_chain_and_ignore_absent_columns(table):
     log = filter_audit(df, rules, "source_a").orderBy("rule_index").collect()
     assert [(r.rows_before, r.rows_after, r.rows_affected, r.status) for r in log] == [
         (3, 2, 1, "applied"), (2, 2, 0, "warning"), (2, 1, 1, "applied")]
-    assert log[1].message == "Column 'z' not found in source_a (available: ['a', 'b']...); rule skipped."
+    assert log[1].message == (
+        "source_a lacks the column 'z' of this rule, which lets every row pass; it has ['a', 'b']")
     assert [r.value for r in log] == ["x", "1", "1"]
 
 
 def test_audit_without_rules(table):
     row = filter_audit(table("a", [("1",), ("2",)]), [], "source_b").first()
     assert (row.action, row.status, row.rows_before, row.rows_after) == ("no_rules", "passthrough", 2, 2)
-    assert row.message == "No filter rules for source_b; all 2 row(s) retained."
+    assert row.message == "nothing to filter in source_b: all 2 rows pass"
 
 
 def test_audit_of_an_empty_source(table):

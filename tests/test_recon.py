@@ -169,9 +169,9 @@ def test_duplicate_warnings(table):
     log = {(r.stage, r.source): r.message for r in recon.filter_log().filter("status = 'warning'").collect()}
     first = [f"d{i:02d}" for i in range(25)]
     assert log == {
-        ("import", "source_a"): f"Source A has 26 duplicate key(s): {first[:5]}",
-        ("compare", "source_a"): "source_a has 27 duplicate key value(s) in column 'k': "
-        f"{['', *first[:19]]} .... Duplicate keys may produce unexpected join results.",
+        ("import", "source_a"): f"side A as read: 26 keys stand on several rows, among them {first[:5]}",
+        ("compare", "source_a"): "source_a, key k: 27 keys stand on several rows and pair up with every partner, "
+        f"among them {['', *first[:19]]} ...",
     }
 
 

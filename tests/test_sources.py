@@ -2,10 +2,11 @@
 
 import datetime
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 
-from counterfoil import SourceError, as_string_table, decode_audit, profile, read_delimited
+from counterfoil import SourceError, as_string_table, decode_audit, profile, read_delimited, reconcile
 from counterfoil.plans import storage
 from counterfoil.sources.delimited import header_names
 from counterfoil.spec import ReconSpec
@@ -98,12 +99,19 @@ def test_profile(table):
     assert sorted(tuple(r) for r in profile(a, b).collect()) == [("source_a", 3, 2), ("source_b", 0, 1)]
 
 
-def test_intermediates_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(storage, "shared_folder", lambda _: None)
-    cached = storage.keep(spark.range(3))
-    assert cached.storageLevel.useDisk and cached.count() == 3
-    cached.unpersist()
+def test_intermediates_go_to_the_shared_folder_and_are_removed(spark, table, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path))
-    stored = storage.keep(spark.range(5))
-    assert stored.count() == 5
-    assert "ExistingRDD" in stored._jdf.queryExecution().executedPlan().toString()
+    job = {"schema_version": "1.0", "compare": {"key_columns": ["k"], "column_mappings": [{"source_a": "v", "source_b": "v"}]}}
+    with reconcile(table("k v", [("1", "2")]), table("k v", [("1", "2")]), job) as recon:
+        assert recon.per_column().first().matched == 1
+        assert len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    context = SimpleNamespace(master="spark://host:7077")
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(SourceError, match="checkpoint"):
+        storage.shared_folder(cluster)
+    context.master = "local[2]"
+    assert storage.shared_folder(cluster)

@@ -83,14 +83,11 @@ def _filter_log() -> str:
 
     def row(side: str, stage: str) -> str:
         if stage == "import":
-            head = f"'Source {side.upper()} has ' || n || ' duplicate key(s): '"
+            head = f"'side {side.upper()} as read: ' || n || ' keys stand on several rows, among them '"
             return _duplicate_row(stage, side, f"source_{side}", "duplicate_keys_warning", 5, head, "''")
         key = "k" if side == "a" else "order_ref"
-        head = f"'source_{side} has ' || n || ' duplicate key value(s) in column ''{key}'': '"
-        tail = (
-            "CASE WHEN n > 20 THEN ' ...' ELSE '' END"
-            " || '. Duplicate keys may produce unexpected join results.'"
-        )
+        head = f"'source_{side}, key {key}: ' || n || ' keys stand on several rows and pair up with every partner, among them '"
+        tail = "CASE WHEN n > 20 THEN ' ...' ELSE '' END"
         shown = "fa" if side == "a" else "b"
         return _duplicate_row(stage, shown, f"source_{side}", "duplicate_key_warning", 20, head, tail)
 
@@ -105,7 +102,7 @@ def _filter_log() -> str:
         {row('a', 'import')} UNION ALL {row('b', 'import')}
         UNION ALL SELECT 'filter', 'source_a', 0, 'status', 'equals', 'skip', 'P', n0, n1, n0 - n1, 'applied', NULL FROM c
         UNION ALL SELECT 'filter', 'source_b', NULL, NULL, NULL, 'no_rules', NULL, count(*), count(*), 0, 'passthrough',
-            'No filter rules for source_b; all ' || count(*) || ' row(s) retained.' FROM b
+            'nothing to filter in source_b: all ' || count(*) || ' rows pass' FROM b
         UNION ALL {row('a', 'compare')} UNION ALL {row('b', 'compare')}
     """
 

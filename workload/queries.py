@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +13,7 @@ from counterfoil.operators.filters import apply_filters, filter_audit
 from counterfoil.operators.keys import duplicate_keys
 
 from counterfoil.operators.normalize import normalization_audit, normalize
+from counterfoil.plans.storage import new_path
 from counterfoil.spec import FilterRule
 
 from . import sides
@@ -30,9 +29,8 @@ def query(function: Query) -> Query:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all tasks can reach; local only where no cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="counterfoil-")
+    """A new folder that all tasks can reach."""
+    return new_path(spark)
 
 
 def orders(spark: SparkSession, folder: str, **options) -> Recon:
