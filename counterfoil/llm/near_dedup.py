@@ -26,7 +26,7 @@ from .components import components
 from .shared import stored
 
 FULL = U64(2**64 - 1)
-ROUNDS = 4  # of further pivots at most; what they leave open is compared pair by pair
+ROUNDS = 2  # of further pivots at most; what they leave open is compared pair by pair
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int = 5) -
             linked = [similar(x, y, percent) for x, y in zip(first, second)]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    texts = _texts(docs)
+    texts = docs.select("doc_id", "text")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, banding: Banding = Bandi
     pivots = stored(pivots.filter("pivot != _last").select("bucket", "pivot"))
     shared = stored(members.join(pivots, "bucket"))
 
-    known = docs.filter("doc_id IS NOT NULL")
+    met = shared.select(F.col("node").alias("doc_id")).distinct()
+    known = stored(_texts(docs).join(met, "doc_id", "left_semi"))
     tried = stored(shared.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     links = stored(confirmed(tried, known, percent, width))
     labels = components(links)
