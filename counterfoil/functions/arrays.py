@@ -66,6 +66,14 @@ def _json_items(t: Column) -> Column:
     return F.filter(F.transform(texts, strip), lambda item: item != "")
 
 
+def _nested_items(t: Column) -> Column:
+    """Top-level items of a JSON list that holds lists or objects; null for other texts."""
+    valid = F.try_parse_json(t).isNotNull()
+    items = F.when(valid, F.from_json(t, "array<string>"))
+    shown = F.transform(items, lambda item: F.coalesce(strip(item), F.lit("None")))
+    return F.filter(shown, lambda item: item != "")
+
+
 def _comma_items(text: Column) -> Column:
     """Items between commas, trimmed and without empty ones.
 
@@ -80,15 +88,16 @@ def _comma_items(text: Column) -> Column:
 def parse_array(c: Column, stripped: Column | None = None) -> Column:
     """A cell as ``array<string>``: JSON list, else ``[a, b]``, else ``a, b``.
 
-    Null and blank cells give an empty array. Lists inside lists are not JSON
-    lists of scalars and take the ``[a, b]`` way. ``stripped`` is a column that
+    Null and blank cells give an empty array. A list or object inside a JSON list
+    is one item, shown as its JSON text. ``stripped`` is a column that
     holds the cell from ``list_source``; with it the generated code stays small.
     """
     t = list_source(c) if stripped is None else stripped
     bracketed = t.startswith("[") & t.endswith("]")
     plain = F.when(bracketed, F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
     json_items = F.when(bracketed & t.rlike(JSON_START), _json_items(t))
-    return F.coalesce(json_items, _comma_items(plain))
+    nested = F.when(bracketed & t.rlike(r"\A\[.*[\[{]"), _nested_items(t))
+    return F.coalesce(json_items, nested, _comma_items(plain))
 
 
 def list_source(c: Column) -> Column:

@@ -7,7 +7,8 @@ code of the stage that uses it.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+import warnings
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,12 +93,41 @@ def java_pattern(pattern: str, full: bool = True) -> str:
 
     ``d`` makes the line feed the only line end and ``U`` makes the character
     classes Unicode-aware, as they are in Python; ``full`` anchors both ends.
+    Named groups get plain names, and inside a class the characters that Java
+    takes for nested classes and intersections are escaped. Conditional groups,
+    which Java lacks, are refused.
     """
     try:
-        re.compile(pattern)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)  # it warns of what is escaped below
+            groups = re.compile(pattern).groupindex
     except re.error as exc:
         raise SpecError(f"invalid regular expression {pattern!r}: {exc}") from exc
-    body = re.sub(r"\(\?P<", "(?<", pattern)
-    body = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", body)
-    body = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", body)
-    return rf"(?dU)\A(?:{body})\z" if full else rf"(?dU){body}"
+    names = {name: f"g{i}" for i, name in enumerate(groups, start=1)}
+    body = "".join(_java_parts(pattern, names))
+    # A comment under the x flag ends with its line.
+    return f"(?dU)\\A(?:{body}\n)\\z" if full and "(?x" in body else rf"(?dU)\A(?:{body})\z" if full else f"(?dU){body}"
+
+
+_PART = re.compile(r"\\.|\[\^?\]?|\(\?P<(\w+)>|\(\?P=(\w+)\)|\(\?\(|.", re.S)
+
+
+def _java_parts(pattern: str, names: dict[str, str]) -> Iterator[str]:
+    in_class = False
+    for part in _PART.finditer(pattern):
+        text = part[0]
+        if in_class:
+            in_class = text != "]"
+            yield {"[": r"\[", "[^": r"\[^", "[]": r"\[]", "[^]": r"\[^]", "&": r"\&"}.get(text, text)
+            in_class = in_class and text not in ("[]", "[^]")
+        elif text.startswith("["):
+            in_class = True
+            yield text.replace("]", r"\]")
+        elif part[1]:
+            yield f"(?<{names[part[1]]}>"
+        elif part[2]:
+            yield rf"\k<{names[part[2]]}>"
+        elif text == "(?(":
+            raise SpecError(f"conditional groups are not supported: {pattern!r}")
+        else:
+            yield r"\z" if text == r"\Z" else text

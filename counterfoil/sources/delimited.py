@@ -11,7 +11,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,12 +33,20 @@ CHARSETS = {
     "utf16": "UTF-16",
     "utf-16": "UTF-16",
     "utf-32": "UTF-32",
+    "cp1252": "windows-1252",
+    "windows-1252": "windows-1252",
 }
+# Spark does not read this set. It is ISO-8859-1 but for 32 code points, which are put right afterwards.
+WINDOWS = "windows-1252"
+WINDOWS_FROM = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS_TO = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 RECORD = "_record"
 EXTRA = "_extra"
 
 
 def charset(name: str) -> str:
+    if name.lower() == "auto":
+        raise SourceError("name the encoding of the file; it is not guessed from the bytes")
     return CHARSETS.get(name.lower().replace("_", "-"), name)
 
 
@@ -63,16 +71,32 @@ class Delimited:
     rejects: DataFrame
 
 
-def _splittable(spark: SparkSession, path: str, encoding: str, quote: str) -> bool:
-    """Can records be cut at line ends? Not when a quoted field spans lines.
+def _look(spark: SparkSession, path: str, encoding: str, quote: str, whole: bool) -> bool:
+    """Do all files begin with the same line, and can their records be cut at line ends?
 
-    Such a field leaves a line with an odd number of quotes. This is one pass
-    over the raw lines, itself split over the cluster.
+    A different first line is an error, since columns go by position. A quoted
+    field that spans lines leaves a line with an odd number of quotes. This is one
+    pass over the raw lines, split over the cluster; without ``whole`` it reads
+    the first block of each file only.
     """
     if not encoding.upper().startswith(("UTF-8", "ISO-8859", "US-ASCII")):
         return False
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote)))
-    return spark.read.text(path).filter(quotes % 2 != 0).isEmpty()
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
+    )
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit(quote)))
+    at_start = (F.col("start") == 0) & (F.col("line") != "")
+    files = (lines if whole else lines.filter(at_start)).groupBy("file").agg(
+        F.first(F.when(at_start, F.col("line")), ignorenulls=True).alias("header"),
+        F.max(quotes % 2).alias("odd"),
+    )
+    kinds = files.filter("header IS NOT NULL").groupBy("header")
+    found = kinds.agg(F.min("file").alias("file"), F.max("odd").alias("odd")).orderBy("file").limit(2).collect()
+    if len(found) > 1:
+        raise SourceError(f"the headers of {found[0]['file']} and {found[1]['file']} differ")
+    return not any(row["odd"] for row in found)
 
 
 def read_delimited(
@@ -87,13 +111,18 @@ def read_delimited(
 ) -> Delimited:
     """Read a file or folder of delimited text.
 
-    ``multi_line=None`` looks whether quoted fields span lines and splits large
-    files when they do not; True or False says so without looking. ``strict``
-    raises when a row has too many fields instead of setting it apart.
+    All files must have the same header. ``multi_line=None`` looks whether quoted
+    fields span lines and splits large files when they do not; True or False says
+    so without looking. ``strict`` stops the job that meets a row with too many
+    fields, instead of setting such rows apart.
     """
     encoding = charset(encoding)
+    windows = encoding == WINDOWS
+    if windows:
+        encoding = "ISO-8859-1"
+    splittable = _look(spark, path, encoding, quotechar, multi_line is None)
     if multi_line is None:
-        multi_line = not _splittable(spark, path, encoding, quotechar)
+        multi_line = not splittable
     reader = (
         spark.read.option("sep", delimiter)
         .option("quote", quotechar)
@@ -107,7 +136,7 @@ def read_delimited(
     first = reader.option("header", False).csv(path).limit(1).collect()
     if not first:
         raise SourceError(f"{path} is empty")
-    names = header_names(first[0])
+    names = header_names([_as_windows(cell) if windows and cell else cell for cell in first[0]])
     unknown = [name for name in use_columns or () if name not in names]
     if unknown:
         raise SourceError(f"{path} has no columns {unknown}")
@@ -134,10 +163,24 @@ def read_delimited(
     kept = [col(n) for n in (use_columns if use_columns is not None else names)]
     fields_again = F.concat_ws(delimiter, *(nz(col(n)) for n in [*names, EXTRA]))
     record = F.coalesce(F.col(RECORD), fields_again)
-    rejects = raw.filter(too_long).select(record.alias("record"))
-    if strict and not rejects.isEmpty():
-        raise SourceError(f"{path} has rows with more fields than the header")
-    return Delimited(raw.filter(~too_long).select(*kept), rejects)
+    decoded = _windows_text if windows else lambda c: c
+    rejects = raw.filter(too_long).select(decoded(record).alias("record"))
+    good = ~too_long
+    if strict:
+        told = F.raise_error(F.lit(f"{path} has rows with more fields than the header")).cast("boolean")
+        good = F.when(too_long, told).otherwise(F.lit(True))
+    table = raw.filter(good).select(*kept)
+    if windows:
+        table = table.select(*(_windows_text(col(n)).alias(n) for n in table.columns))
+    return Delimited(table, rejects)
+
+
+def _as_windows(text: str) -> str:
+    return text.translate(str.maketrans(WINDOWS_FROM, WINDOWS_TO))
+
+
+def _windows_text(c: Column) -> Column:
+    return F.translate(c, WINDOWS_FROM, WINDOWS_TO)
 
 
 def read_source(spark: SparkSession, options: SourceOptions, **reading: bool) -> Delimited:

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import warnings
 
 import pandas as pd
 import pytest
@@ -156,3 +157,29 @@ def test_the_space_class_is_the_white_space_set(spark):
     df = spark.range(1, 0xD7FF).select("id", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
     found = [chr(r.id) for r in df.filter(F.col("c").rlike(f"(?U)[{SPACE}]")).orderBy("id").collect()]
     assert "".join(found) == WHITESPACE
+
+
+PATTERNS = [
+    r"(?P<order_id>\d+)-(?P=order_id)", r"[a&&b]+", r"[[a]+", r"[]a]+", r"[^]a]+", r"a\[b", r"[\w&]+x", r"(?x)ab # end",
+    r"a.b\Z", r"[a-c[&]*", r"\\[ab]", r"x|y", r"(?i)AB", r"[^[&]+",
+]
+PATTERN_TEXTS = ["12-12", "12-13", "a&b", "ab", "[a", "]a", "b&", "x", "a[b", "w&x", "a\nb", "axb", "\\a", "c[&a", "é&x", "y", "["]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_patterns_match_alike(apply, pattern):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        wanted = [re.fullmatch(pattern, text) is not None for text in PATTERN_TEXTS]
+    assert apply(lambda c: c.rlike(java_pattern(pattern)), PATTERN_TEXTS) == wanted
+
+
+def test_conditional_groups_are_refused():
+    with pytest.raises(SpecError):
+        java_pattern(r"(a)?(?(1)b|c)")
+
+
+def test_lists_inside_lists_are_single_items(apply):
+    cells = ['[["a","b"],"c"]', '[{"k":1},2,null]', "[[1],[2]]", "[a,[b]]", '["a [b]", "c"]', '[["a"],""]']
+    wanted = [['["a","b"]', "c"], ['{"k":1}', "2", "None"], ["[1]", "[2]"], ["a", "[b]"], ["a [b]", "c"], ['["a"]']]
+    assert apply(parse_array, cells) == wanted

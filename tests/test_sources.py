@@ -31,8 +31,28 @@ def test_quirks(spark, file):
     assert source.table.columns == ["id", "a", "b"]
     assert rows(source) == [("1", "x", 'p "q" r'), ("2", None, "NA"), ("3", "only", None), ("7", "a,b", "c")]
     assert sorted(r.record[0] for r in source.rejects.collect()) == ["4", "5", "6", "8"]
-    with pytest.raises(SourceError):
-        read_delimited(spark, path, strict=True)
+    with pytest.raises(Exception, match="more fields"):
+        read_delimited(spark, path, strict=True).table.count()
+
+
+def test_files_of_a_folder_must_share_their_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffid,name\n1,x\n")
+    (tmp_path / "b.csv").write_text("id,name\r\n2,y\r\n")
+    assert read_delimited(spark, str(tmp_path)).table.count() == 2
+    (tmp_path / "c.csv").write_text("name,id\nz,3\n")
+    for multi_line in (None, True, False):
+        with pytest.raises(SourceError, match="headers"):
+            read_delimited(spark, str(tmp_path), multi_line=multi_line)
+
+
+def test_windows_characters(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    path.write_bytes("näme;x\n€ “q”;\x9d\n".encode("cp1252", errors="ignore") + b"\x9d;1\n")
+    table = read_delimited(spark, str(path), delimiter=";", encoding="Windows-1252").table
+    assert table.columns == ["näme", "x"]
+    assert sorted(tuple(r) for r in table.collect()) == [("€ “q”", None), ("\ufffd", "1")]
+    with pytest.raises(SourceError, match="encoding"):
+        read_delimited(spark, str(path), encoding="auto")
 
 
 @pytest.mark.parametrize("multi_line", [None, True])

@@ -508,3 +508,51 @@ ORACLES |= {
     )
     + f" SELECT {DETAIL} FROM d",
 }
+
+# -- keys, numbers and lists at the edges ------------------------------------------
+
+LINEITEM_TEXT = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_shipdate"))
+ORACLES |= {
+    "typed_source": f"""
+        SELECT {LINEITEM_TEXT}, CAST(CAST(l_discount AS DECIMAL(18,3)) AS VARCHAR) AS l_discount,
+               l_returnflag, l_linestatus FROM lineitem
+    """,
+    "source_profile": """
+        SELECT 'source_a' AS source, (SELECT count(*) FROM orders) AS rows,
+               (SELECT count(*) FROM (DESCRIBE orders)) AS columns
+        UNION ALL SELECT 'source_b', (SELECT count(*) FROM events), (SELECT count(*) FROM (DESCRIBE events))
+    """,
+    "cmp_tolerance_wide": f"""
+        WITH a AS (SELECT k, CAST(v AS DECIMAL(38,11)) AS v, count(*) AS n FROM ({sides.WIDE_A.sql}) GROUP BY ALL),
+        b AS (SELECT ref, CAST(w AS DECIMAL(38,11)) AS w, count(*) AS n FROM ({sides.WIDE_B.sql}) GROUP BY ALL),
+        na AS (SELECT k, sum(n) AS n FROM a GROUP BY k), nb AS (SELECT ref, sum(n) AS n FROM b GROUP BY ref),
+        p AS (SELECT k, sum(a.n * b.n) AS near FROM a JOIN b ON k = ref AND v - w <= 50.00000000003
+              AND w - v <= 50.00000000003 GROUP BY k)
+        SELECT na.k AS key, CAST(na.n AS BIGINT) AS n_a, CAST(nb.n AS BIGINT) AS n_b,
+               CAST(na.n * nb.n AS BIGINT) AS pairs, CAST(coalesce(near, 0) AS BIGINT) AS near
+        FROM na JOIN nb ON na.k = nb.ref LEFT JOIN p ON p.k = na.k
+    """,
+    "details_null_keys": f"""
+        WITH a AS (SELECT * FROM ({sides.NULL_KEYS_A.sql}) WHERE k IS NOT NULL),
+        b AS (SELECT * FROM ({sides.NULL_KEYS_B.sql}) WHERE ref IS NOT NULL)
+        SELECT coalesce(k, ref) AS key, status AS value_a, state AS value_b,
+               CASE WHEN status IS NOT DISTINCT FROM state THEN 'exact_match' WHEN status IS NULL THEN 'missing_in_a'
+                    WHEN state IS NULL THEN 'missing_in_b' ELSE 'value_diff' END AS diff_type
+        FROM a FULL JOIN b ON k = ref
+    """,
+    "details_empty_side": f"{_details(ORDERS, ORDER_PAIRS)} SELECT {DETAIL} FROM d WHERE value_a = 'no such cell'",
+    "unmatched_ordered": f"""
+        SELECT source, key, CAST(row_number() OVER (PARTITION BY source ORDER BY key) AS INTEGER) AS position
+        FROM ({UNMATCHED})
+    """,
+    "nrm_array_nested": """
+        SELECT CAST(event_id AS VARCHAR) AS k, 3 AS n,
+               '["' || event_type || '","z"] / {"u":' || CAST(user_id AS VARCHAR) || '} / ' || event_type AS items FROM events
+    """,
+    "flt_regex_groups": f"""
+        SELECT * FROM ({sides.CUSTOMERS.sql}) WHERE regexp_matches(segment, '^[AB-Z&]+$')
+          AND list_contains(list_transform(range(10), lambda d: regexp_matches(name, '^Customer#0+' || d || d || '[0-9]*$')), true)
+    """,
+    "csv_options": "SELECT CAST(doc_id AS VARCHAR) AS id, '€ ''n'';' || lang AS \"naïve\" FROM documents",
+}

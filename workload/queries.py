@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterfoil import Metric, Recon, ReconSpec, Report, as_string_table, decode_audit
@@ -418,19 +418,87 @@ def metrics_user(spark, folder):
     return recon.metrics(["missing_share", "longest_key", "statuses", "missing_cells"])
 
 
+# -- keys, numbers and lists at the edges ---------------------------------------------
+
+
+@query
+def cmp_tolerance_wide(spark, folder):
+    """Counts of near pairs among many distinct numbers, too long for one decimal, under two keys."""
+    mapping = {"source_a": "v", "source_b": "w", "method": "tolerance", "tolerance": "50.00000000003"}
+    recon = reconcile(
+        sides.WIDE_A.frame(spark, folder), sides.WIDE_B.frame(spark, folder), job(("k", "ref"), [mapping])
+    )
+    return recon.key_cells.select("key", "n_a", "n_b", "pairs", F.col("m0").alias("near"))
+
+
+@query
+def details_null_keys(spark, folder):
+    """Rows without a key are compared with nothing, and are no partner that lacks."""
+    recon = reconcile(
+        sides.NULL_KEYS_A.frame(spark, folder),
+        sides.NULL_KEYS_B.frame(spark, folder),
+        job(("k", "ref"), [("status", "state")], join_type="outer"),
+    )
+    return recon.details().select("key", "value_a", "value_b", "diff_type")
+
+
+@query
+def details_empty_side(spark, folder):
+    """With no row left on one side nothing is compared, whatever the join."""
+    none = {"source_b": [rule("amount", "less_than", -1)]}
+    return orders(spark, folder, join_type="outer", filters=none).details().select(*DETAIL)
+
+
+@query
+def unmatched_ordered(spark, folder):
+    """Positions of the report's unmatched keys in its order."""
+    section = Report(orders(spark, folder)).section("unmatched_records")
+    by_source = Window.partitionBy("source").orderBy("key")
+    return section.select("source", "key", F.row_number().over(by_source).alias("position"))
+
+
+@query
+def nrm_array_nested(spark, folder):
+    rules = {"column_specific": [{"column": "tags", "array_parse": True}]}
+    parsed = _normalized(spark, folder, sides.NESTED, rules)
+    return parsed.select("k", F.size("tags").alias("n"), F.array_join("tags", " / ").alias("items"))
+
+
+@query
+def flt_regex_groups(spark, folder):
+    """A named group with an underscore that is repeated, and a class with doubled ampersands."""
+    rules = [
+        FilterRule("name", "matches_regex", r"Customer#0+(?P<last_digit>\d)(?P=last_digit)\d*", "keep"),
+        FilterRule("segment", "matches_regex", "[A-Z&&B]+", "keep"),
+    ]
+    return apply_filters(sides.CUSTOMERS.frame(spark, folder), rules)
+
+
 # -- sources and sinks ------------------------------------------------------------------
 
 
+@query
+def csv_options(spark, folder):
+    """Semicolons, single quotes and a Windows character set."""
+    path = scratch(spark) + "/windows"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    name = F.concat(F.lit("€ 'n';"), F.col("lang"))
+    lines = docs.select(F.col("doc_id").cast("string").alias("id"), name.alias("naïve"))
+    stand_in = lines.withColumn("naïve", F.replace("naïve", F.lit("€"), F.lit("\x80")))  # the byte of the set
+    stand_in.write.option("header", True).option("sep", ";").option("quote", "'").option("escape", "'").option(
+        "encoding", "ISO-8859-1"
+    ).csv(path)
+    return read_delimited(spark, path, delimiter=";", quotechar="'", encoding="cp1252").table
+
+
 @query
 def typed_source(spark, folder):
-    columns = ("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag")
-    df = spark.read.parquet(f"{folder}/lineitem.parquet").select(*columns, "l_shipdate")
-    return as_string_table(df, {"l_discount": 3})
+    return as_string_table(spark.read.parquet(f"{folder}/lineitem.parquet"), {"l_discount": 3})
 
 
 @query
 def source_profile(spark, folder):
-    return profile(sides.ORDERS_A.frame(spark, folder), sides.EVENTS.frame(spark, folder))
+    return profile(*(spark.read.parquet(f"{folder}/{table}.parquet") for table in ("orders", "events")))
 
 
 @query

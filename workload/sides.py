@@ -142,6 +142,38 @@ HOT_B = Side(
     "l_suppkey % 5 <> 0",
 )
 
+# Many numbers of eleven decimals under two keys, some of more than twenty digits.
+WIDE_A = Side(
+    "lineitem",
+    (
+        "CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 'warm' END AS k",
+        "concat(CASE WHEN l_partkey % 9 = 0 THEN '900000000000000000000' ELSE '' END,"
+        " CAST(l_partkey % 197 AS STRING), '.000000000', CAST(l_suppkey % 7 + 10 AS STRING)) AS v",
+    ),
+)
+WIDE_B = Side(
+    "orders",
+    (
+        "CASE WHEN o_orderkey % 4 = 0 THEN 'hot' ELSE 'warm' END AS ref",
+        "concat(CASE WHEN o_custkey % 11 = 0 THEN '900000000000000000000' ELSE '' END,"
+        " CAST(o_orderkey % 193 AS STRING), '.000000000', CAST(o_custkey % 7 + 10 AS STRING)) AS w",
+    ),
+)
+# Keys that are null on either side.
+NULL_KEYS_A = Side("orders", ("CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey AS STRING) END AS k", "o_orderstatus AS status"))
+NULL_KEYS_B = Side(
+    "orders",
+    ("CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey AS STRING) END AS ref", "lower(o_orderstatus) AS state"),
+)
+# JSON lists that hold a list or an object.
+NESTED = Side(
+    "events",
+    (
+        "CAST(event_id AS STRING) AS k",
+        "concat('[[\"', event_type, '\",\"z\"],{\"u\":', CAST(user_id AS STRING), '},\" ', event_type, '\"]') AS tags",
+    ),
+)
+
 EVENTS = Side(
     "events",
     ("CAST(user_id AS STRING) AS user_ref", "event_type AS kind"),
