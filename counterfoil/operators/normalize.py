@@ -34,7 +34,8 @@ from ..spec import AliasGroup, Cleaning, ColumnRule, ReconSpec, UserNormalizer
 # Up to this many aliases the lookup is a literal map in the projection, above
 # it a join; the list comes from the job, so its size is known beforehand.
 LITERAL_ALIASES = 500
-BROADCAST_ALIASES = 500_000
+# A lookup is sent to every task while all its copies, one per column, stay below this.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 LOG_SCHEMA = (
     "step int, stage string, source string, action string, column string, status string, "
@@ -189,6 +190,7 @@ def _literal_alias_step(_, names, resolved, shadows) -> Step:
 def _joined_alias_step(spark, names, resolved, shadows) -> Step:
     schema = "alias string, text string, count int, name string"
     lookup = spark.createDataFrame([(k, *v) for k, v in resolved.items()], schema)
+    size = sum(2 * (len(k) + len(v[0]) + len(v[2])) + 64 for k, v in resolved.items())
 
     def helper(name: str, part: str) -> str:
         return f"__alias_{part}_{name}"
@@ -196,7 +198,7 @@ def _joined_alias_step(spark, names, resolved, shadows) -> Step:
     def join(df: DataFrame) -> DataFrame:
         for name in names:
             side = lookup.select(*(col(p).alias(helper(name, p)) for p in lookup.columns))
-            if len(resolved) <= BROADCAST_ALIASES:
+            if size * len(names) <= BROADCAST_BYTES:
                 side = F.broadcast(side)
             df = df.join(side, _alias_key(col(name)) == col(helper(name, "alias")), "left")
         return df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -56,8 +57,12 @@ class Report:
         return build[name]()
 
     def preview(self, name: str, n: int | None = None) -> DataFrame:
-        """The first rows of a section in its order; finds them without a full sort."""
-        return self.section(name).orderBy(*ORDER[name]).limit(n or PREVIEW.get(name, 100))
+        """The first ``n`` rows of a section in its order; finds them without a full sort.
+
+        Without ``n`` as many as ``PREVIEW`` names for the section, else 100.
+        """
+        shown = PREVIEW.get(name, 100) if n is None else n
+        return self.section(name).orderBy(*ORDER[name]).limit(shown)
 
     def size(self, name: str) -> DataFrame:
         """One row: how many rows the whole section has."""
@@ -99,6 +104,22 @@ class Report:
             paths.append(path)
         return paths
 
+    def write_job(self, folder: str, skip_unbuilt: bool = False) -> list[str]:
+        """Write what ``report.output`` of the job asks for, below ``folder``.
+
+        Delimited files are datasets in a folder of the given name. The other
+        formats are documents that one machine makes of finished tables and are
+        not built: they are an error, or with ``skip_unbuilt`` a warning.
+        """
+        unbuilt = sorted({kind for kind, _ in self.recon.spec.outputs if kind != "csv"})
+        if unbuilt:
+            told = f"report formats {unbuilt} are not built; write the sections and render those"
+            if not skip_unbuilt:
+                raise SpecError(told)
+            warnings.warn(told, stacklevel=2)
+        names = [name for kind, name in self.recon.spec.outputs if kind == "csv"]
+        return [path for name in names for path in self.write(f"{folder}/{name}")]
+
     @staticmethod
     def _csv(df: DataFrame, path: str) -> None:
         writer = df.write.mode("overwrite").option("header", True).option("escape", '"')

@@ -342,6 +342,7 @@ class ReconSpec:
     column_rules: tuple[ColumnRule, ...] = ()
     user_normalizers: tuple[UserNormalizer, ...] = ()
     sections: tuple[Section, ...] = ()
+    outputs: tuple[tuple[str, str], ...] = ()
     sources: dict[str, SourceOptions] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -377,6 +378,7 @@ class ReconSpec:
             filters_a=filters["source_a"],
             filters_b=filters["source_b"],
             sections=cls._sections(job.get("report")),
+            outputs=cls._outputs(job.get("report")),
             sources=cls._sources(job),
             **rules,
         )
@@ -432,12 +434,20 @@ class ReconSpec:
             "user_normalizers": each("custom_normalizers", UserNormalizer.from_dict),
         }
 
+    @staticmethod
+    def _outputs(report: Any) -> tuple[tuple[str, str], ...]:
+        """Format and file name of each output that the report asks for."""
+        output = _mapping(_mapping(report or {}, "report").get("output") or {}, "report.output")
+        found = []
+        for i, entry in enumerate(_list(output.get("formats") or [], "report.output.formats")):
+            entry = _mapping(entry, f"formats[{i}]")
+            kind = _one_of(entry.get("type"), FORMATS, f"formats[{i}].type")
+            found.append((kind, str(entry.get("file_name") or "comparison_report")))
+        return tuple(found)
+
     @staticmethod
     def _sections(report: Any) -> tuple[Section, ...]:
         report = _mapping(report or {}, "report")
-        output = _mapping(report.get("output") or {}, "report.output")
-        for i, entry in enumerate(_list(output.get("formats") or [], "report.output.formats")):
-            _one_of(_mapping(entry, f"formats[{i}]").get("type"), FORMATS, f"formats[{i}].type")
         sections = _list(report.get("sections") or [], "report.sections")
         return tuple(Section.from_dict(s, f"report.sections[{i}]") for i, s in enumerate(sections))
 

@@ -277,3 +277,16 @@ def test_empty_sections_keep_their_header(spark, job, tmp_path):
     job["pre_filters"] = {"source_a": [{"column": "id", "operator": "is_not_null", "action": "skip"}]}
     Report(run_job(spark, job)).write(str(tmp_path / "r"), sections=["mismatch_details"])
     assert spark.read.option("header", True).csv(str(tmp_path / "r" / "mismatch_details")).isEmpty()
+
+
+def test_outputs_of_the_job(table, tmp_path):
+    job = {"schema_version": "1.0", "compare": {"key_columns": ["k"], "column_mappings": [{"source_a": "v", "source_b": "v"}]}}
+    job["report"] = {"output": {"formats": [{"type": "csv", "file_name": "out"}]}, "sections": [{"name": "summary", "enabled": True}]}
+    sides = table("k v", [("1", "2")]), table("k v", [("1", "2")])
+    assert Report(reconcile(*sides, job)).write_job(str(tmp_path)) == [f"{tmp_path}/out/summary"]
+    job["report"]["output"]["formats"].append({"type": "html"})
+    with pytest.raises(SpecError, match="html"):
+        Report(reconcile(*sides, job)).write_job(str(tmp_path))
+    with pytest.warns(UserWarning, match="html"):
+        assert Report(reconcile(*sides, job)).write_job(str(tmp_path), skip_unbuilt=True) == [f"{tmp_path}/out/summary"]
+    assert Report(reconcile(*sides, job)).preview("summary", 0).count() == 0

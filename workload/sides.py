@@ -139,7 +139,6 @@ HOT_B = Side(
         "l_linestatus AS line_b",
         MONEY.format("l_quantity") + " AS quantity_b",
     ),
-    "l_suppkey % 5 <> 0",
 )
 
 # Many numbers of eleven decimals under two keys, some of more than twenty digits.
