@@ -89,8 +89,8 @@ class Chunk:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
 
 
-def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[Chunk]:
-    """Consecutive rows of a string or binary column without nulls, about `size` bytes at a time.
+def chunks(column: pa.Array, size: int = 1 << 20, rows: int = 1 << 12) -> Iterator[Chunk]:
+    """Consecutive rows of a string or binary column without nulls, about `size` bytes and at most `rows` rows at a time.
 
     A longer text makes a chunk of its own, so memory is bounded by the size and the longest text.
     """
@@ -104,7 +104,7 @@ def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[Chunk]:
     first = 0
     while first < len(column):
         last = int(np.searchsorted(bounds, bounds[first] + size, "right")) - 1
-        last = min(len(column), max(last, first + 1))
+        last = min(len(column), first + rows, max(last, first + 1))
         yield Chunk(first, last, flat[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
         first = last
 

@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 600, longest: int = 20
     rows = rows.filter((F.length("text") <= longest) & (F.length("text") > 0)).orderBy("doc_id", "text").limit(sample).collect()
     if not rows:
         return None
-    chunk = next(chunks(pa.array([row["text"] for row in rows], pa.string()), 1 << 40))
+    chunk = next(chunks(pa.array([row["text"] for row in rows], pa.string()), 1 << 40, sample))
     lines = measure(chunk)
     parts = [lines.features[a:b] for a, b in zip(lines.bounds[:-1], lines.bounds[1:])]
     return train(parts, [int(row["quality"] > 0) for row in rows])
