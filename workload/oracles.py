@@ -133,7 +133,7 @@ ORACLES |= {
     "nrm_clean_lower": _each(sides.MESSY, f"lower(trim({FILLED}))"),
     "nrm_clean_upper": _each(sides.MESSY, f"upper(trim({FILLED}))"),
     "nrm_clean_title": (
-        f"SELECT CAST(p_partkey AS VARCHAR) AS k, {TITLED.format(c='p_name')} AS p_name,"
+        f"SELECT CAST(p_partkey AS VARCHAR) AS k, {TITLED.format(c='p_name')} || ' O''Neil X-1B' AS p_name,"
         f" {TITLED.format(c='p_type')} AS p_type FROM part"
     ),
     "nrm_nulls": _each(sides.MESSY, FILLED),
@@ -429,16 +429,6 @@ ORACLES |= {
 # -- sources and sinks -----------------------------------------------------------------
 
 ORACLES |= {
-    "typed_source": """
-        SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
-               CAST(l_extendedprice AS VARCHAR) AS l_extendedprice,
-               CAST(CAST(l_discount AS DECIMAL(18,3)) AS VARCHAR) AS l_discount, l_returnflag,
-               CAST(l_shipdate AS VARCHAR) AS l_shipdate FROM lineitem
-    """,
-    "source_profile": """
-        SELECT 'source_a' AS source, count(*) AS rows, 5 AS columns FROM orders
-        UNION ALL SELECT 'source_b', count(*), 2 FROM events
-    """,
     "csv_roundtrip": """
         SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(n_chars AS VARCHAR) AS n_chars,
                CAST(length(nullif(text, '')) AS INTEGER) AS length, md5(nullif(text, '')) AS digest FROM documents
@@ -448,8 +438,8 @@ ORACLES |= {
     "csv_short_rows": f"SELECT k, status, CASE WHEN CAST(k AS INTEGER) % 40 = 1 THEN NULL ELSE price END AS price"
     f" FROM ({sides.ORDERS_A.sql}) WHERE CAST(k AS INTEGER) % 50 <> 0",
     "decode_audits": " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count(*) FILTER (contains(CAST({c} AS VARCHAR), chr(65533)))"
-        " AS damaged_cells FROM documents"
+        f"SELECT '{c}' AS \"column\", count(*) FILTER (contains(CAST({c} AS VARCHAR), chr(65533))"
+        f" OR ('{c}' = 'text' AND doc_id % 7 = 0)) AS damaged_cells FROM documents"
         for c in ("doc_id", "text", "lang", "source", "n_chars")
     ),
     "report_sections": f"""
@@ -459,6 +449,12 @@ ORACLES |= {
         UNION ALL SELECT 'per_column_breakdown', count(DISTINCT "column") FROM d
     """,
 }
+ORACLES["report_contents"] = f"""
+    {D} {STATUS} SELECT 'mismatch_details' AS section, key, "column" AS c1, value_a AS c2, value_b AS c3, diff_type AS c4
+        FROM d WHERE status = 'mismatch'
+    UNION ALL SELECT 'unmatched_records', key, CASE WHEN in_a THEN 'Source A' ELSE 'Source B' END, NULL, NULL, NULL
+        FROM ks WHERE NOT (in_a AND in_b)
+"""
 
 # -- further comparison methods -------------------------------------------------
 

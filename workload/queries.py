@@ -138,7 +138,7 @@ def nrm_clean_upper(spark, folder):
 @query
 def nrm_clean_title(spark, folder):
     part = spark.read.parquet(f"{folder}/part.parquet")
-    df = as_string_table(part.select(F.col("p_partkey").alias("k"), "p_name", "p_type"))
+    df = as_string_table(part.select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" o'neil x-1b")).alias("p_name"), "p_type"))
     rules = {"global_cleaning": {"case_normalize": "title"}}
     return normalize(df, ReconSpec.from_dict(job(("k", "k"), [("k", "k")], rules=rules)))
 
@@ -538,7 +538,25 @@ def csv_short_rows(spark, folder):
 
 @query
 def decode_audits(spark, folder):
-    return decode_audit(as_string_table(spark.read.parquet(f"{folder}/documents.parquet")))
+    """Documents of which some end in a character that was lost in decoding."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    lost = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\ufffd"))).otherwise(F.col("text"))
+    return decode_audit(as_string_table(docs.withColumn("text", lost)))
+
+
+@query
+def report_contents(spark, folder):
+    """The two large sections as they stand in the files."""
+    path = scratch(spark) + "/contents"
+    sections = ("mismatch_details", "unmatched_records")
+    Report(orders(spark, folder)).write(path, sections=sections)
+    details, alone = (spark.read.option("header", True).csv(f"{path}/{name}") for name in sections)
+    details = details.select(
+        F.lit(sections[0]).alias("section"), F.col("Key").alias("key"), F.col("Column").alias("c1"),
+        F.col("Value A").alias("c2"), F.col("Value B").alias("c3"), F.col("Diff Type").alias("c4"),
+    )
+    alone = alone.select(F.lit(sections[1]).alias("section"), F.col("Key").alias("key"), F.col("Source").alias("c1"))
+    return details.unionByName(alone, allowMissingColumns=True)
 
 
 @query
