@@ -109,6 +109,37 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_words(documents(spark, folder))
 
 
+ORACLES["op9_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS s
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)),
+low AS (SELECT s, min(doc_id) AS first_doc FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM (SELECT doc_id, i FROM win JOIN low USING (s) WHERE first_doc < doc_id),
+         range(50) AS t(k)),
+kept AS (SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM w)
+         ANTI JOIN gone USING (doc_id, pos)),
+text_left AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM kept GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN text_left USING (doc_id)
+"""
+
+
 @query
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, folder))
+
+
+ORACLES["op10_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT doc_id, y FROM reach JOIN links ON other = x),
+least_id AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least_id LEFT JOIN sizes USING (doc_id)
+"""
