@@ -13,7 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir; a local one only where a single machine runs all."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="counterfoil-llm-")
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
