@@ -68,7 +68,9 @@ def _json_items(t: Column) -> Column:
 
 def _nested_items(t: Column) -> Column:
     """Top-level items of a JSON list that holds lists or objects; null for other texts."""
-    valid = F.try_parse_json(t).isNotNull()
+    # The parser stops after one value; inside an object and inside a list the text must be that value.
+    held = F.concat(F.lit('{"v":'), t, F.lit("}")), F.concat(F.lit("["), t, F.lit("]"))
+    valid = F.try_parse_json(held[0]).isNotNull() & F.try_parse_json(held[1]).isNotNull()
     items = F.when(valid, F.from_json(t, "array<string>"))
     shown = F.transform(items, lambda item: F.coalesce(strip(item), F.lit("None")))
     return F.filter(shown, lambda item: item != "")
