@@ -126,6 +126,25 @@ def test_blocks(page):
     assert blocks(page) == PAGES[page]
 
 
+REMARKS = {
+    "<article>a<section class='comments'><article class='comment'>c</article><article>d</article></section>b</article>x": [
+        ("main", "a"), ("furniture", "c"), ("furniture", "d"), ("main", "b"), ("open", "x")],
+    "<article>a</article><section class='comments'><article class='comment'>c</article></section>x": [
+        ("main", "a"), ("furniture", "c"), ("open", "x")],
+    "<article>a<article class='comment'>c<article class='comment'>d</article>e</article>b</article>": [
+        ("main", "a"), ("furniture", "c"), ("furniture", "d"), ("furniture", "e"), ("main", "b")],
+    "<main>a</main><aside class='related'><article>t</article></aside>": [("main", "a"), ("furniture", "t")],
+    "<p>a</p><div id='comments'><article>c</article></div>": [("open", "a"), ("furniture", "c")],
+    "<div class='has-sidebar'><article>a</article></div>": [("main", "a")],
+    "<div role='main'><div>a</div>b</div>c": [("main", "a"), ("main", "b"), ("open", "c")],
+}
+
+
+@pytest.mark.parametrize("page", REMARKS)
+def test_articles_inside_furniture(page):
+    assert blocks(page) == REMARKS[page]
+
+
 def test_host_repeats_are_removed_where_markup_is_silent(spark):
     foot = "<div>all rights reserved by the owners of this fine site</div>"
     made = [
