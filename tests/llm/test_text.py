@@ -164,6 +164,29 @@ def test_host_repeats_are_removed_where_markup_is_silent(spark):
     assert page_extraction.main_text(frame.limit(0)).count() == 0
 
 
+def test_long_repeats_of_the_host_go_block_by_block(spark):
+    draw = random.Random(4)
+    own = lambda: " ".join("".join(draw.choice("aeiounrst") for _ in range(6)) for _ in range(30))
+    letter = "if you like what you read here leave your address for our letter"
+    menu = "".join(f"<li>{w}</li>" for w in "home news sport weather money travel food health jobs cars games help".split())
+    quote = "the quick fox jumps over the lazy dog"
+    rows, want = [], []
+    for k in range(4):
+        a, b = own(), own()
+        rows.append((k, f"http://open/{k}", f"<ul>{menu}</ul><p>{a}</p><h2>Conclusion</h2><p>{b} {quote}</p><table><td>Yes</td></table><p>{a}"))
+        want.append(f"{a} Conclusion {b} {quote} Yes {a}")
+        rows.append((k, f"http://main/{k}", f"<article><h1>Introduction</h1><p>{a}</p><div>{letter}</div><p>{b}</p><h2>Conclusion</h2></article>"))
+        want.append(f"Introduction {a} {b} Conclusion")
+    whole = [own() for _ in range(6)]
+    for k in range(4):  # an article shown under further addresses, and versions of it
+        text = [own() if i == k else t for i, t in enumerate(whole)]
+        page = "".join(f"<p>{t}</p>" for t in text)
+        rows += [(k, f"http://copies/{k}", f"<main>{''.join(f'<p>{t}</p>' for t in whole)}</main>"), (k, f"http://versions/{k}", f"<main>{page}</main>")]
+        want += [" ".join(whole), " ".join(text)]
+    got = {(r.page_id, r.url): r.text for r in page_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {r[:2]: w for r, w in zip(rows, want)}
+
+
 def test_articles_of_the_pages(spark):
     folder = "/root/testdata/sf0.001"
     pages = spark.read.parquet(f"{folder}/pages.parquet")
