@@ -1,7 +1,9 @@
 r"""Secrets in texts: three fixed patterns, and strings that look random.
 
-Strings of 20 or more ASCII letters, digits and `+/_=-` with at least one letter and one digit are
-candidates. Their encoding (hexadecimal, base 32, base 36 or base 64) is inferred from the characters,
+Strings of 20 or more ASCII letters, digits and `+/_-` with at least one letter and one digit are
+candidates, and so are their parts: what follows a name with `=`, path parts, and groups of one alphabet
+that dashes part. Dashes and low lines are no symbols. Of random strings inside each other the outer one
+is given. Their encoding (hexadecimal, base 32, base 36 or base 64) is inferred from the characters,
 and three tests run on the symbols: the chi-squared test of uniform use of the alphabet, a runs test on
 changes between kinds of character, and the serial correlation of neighbours.
 
@@ -29,7 +31,13 @@ from .shared import stored
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+# Candidates: what stands before or after "=", parts of a path, parts between signs, and groups of one
+# alphabet that "-" or "_" part, whatever stands before them.
+GROUPS = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9_-]{{20}})[{0}]++(?:[_-][{0}]++)+(?![A-Za-z0-9])"
+CANDIDATES = (
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+", r"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{20,}+=*+", r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+",
+    *(GROUPS.format(alphabet) for alphabet in ("0-9a-f", "0-9A-F", "0-9a-z", "0-9A-Z")),
+)
 ASSIGN_VALUE = 8
 
 SPAN = "array<struct<start: int, end: int, text: string>>"
@@ -67,6 +75,12 @@ def assigned(text: Column) -> Column:
     return F.when(text.rlike(ASSIGN), F.filter(spans, lambda s: s.isNotNull())).otherwise(F.array().cast(SPAN))
 
 
+def candidates(text: Column) -> Column:
+    """Spans that may be random, each once; of texts without a long string, none are looked for."""
+    every = F.array_distinct(F.concat(*[found(text, pattern) for pattern in CANDIDATES]))
+    return F.when(text.rlike("[A-Za-z0-9+/_-]{20}"), every).otherwise(F.array().cast(SPAN))
+
+
 def _tail(z: Column) -> Column:
     """Chance that a standard normal value exceeds z (a polynomial approximation)."""
     t = 1 / (1 + 0.2316419 * F.abs(z))
@@ -86,7 +100,7 @@ def battery(candidates: Column) -> Column:
     """p_random and p_text of each candidate, with start and end."""
 
     def symbols(span: Column) -> Column:
-        body = F.rtrim(span["text"], F.lit("="))
+        body = F.regexp_replace(span["text"], "[=_-]", "")
         size = (
             F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16)
             .when(body.rlike("^[A-Z2-7]+$"), 32)
@@ -104,7 +118,7 @@ def battery(candidates: Column) -> Column:
             upper = F.when(size == 32, code - 65).otherwise(code - 55)
             lower = F.when(size == 64, code - 61).otherwise(code - 87)
             return F.when(code.between(48, 57), digit).when(code.between(65, 90), upper).when(code.between(97, 122), lower).otherwise(
-                F.when(code.isin(43, 45), 62).otherwise(63)
+                F.when(code == 43, 62).otherwise(63)
             )
 
         kind = lambda code: F.when(code < 58, 0).when(code < 91, 1).otherwise(2)
@@ -185,7 +199,7 @@ def scan(docs: DataFrame, rate: float, random_level: float, *keep: str) -> DataF
     spans = {"assign": assigned(text), "access": found(text, ACCESS), "hex": found(text, HEX)}
     short = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
     columns = [F.transform(column, short).alias(kind) for kind, column in spans.items()]
-    scored = stored(docs.select(*keep, *columns, battery(found(text, CANDIDATE)).alias("scores")))
+    scored = stored(docs.select(*keep, *columns, battery(candidates(text)).alias("scores")))
     mean_weight, least_bin = cutoff(scored, rate, random_level)
     taken = F.concat("assign", "access", "hex")
 
@@ -194,8 +208,12 @@ def scan(docs: DataFrame, rate: float, random_level: float, *keep: str) -> DataF
         strong = _bin(s["p_text"] * mean_weight / _weight(s["n"])) >= least_bin
         return (s["p_random"] >= random_level) & strong & ~inside
 
-    random = F.transform(F.filter("scores", discovered), short)
-    return scored.select(*keep, *spans, random.alias("random"))
+    def outermost(s: Column) -> Column:
+        around = lambda t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & ((t["start"] != s["start"]) | (t["end"] != s["end"]))
+        return ~F.exists("random", around)
+
+    scored = scored.select(*keep, *spans, F.transform(F.filter("scores", discovered), short).alias("random"))
+    return scored.select(*keep, *spans, F.filter("random", outermost).alias("random"))
 
 
 def listed(*kinds: str) -> Column:

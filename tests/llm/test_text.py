@@ -41,6 +41,29 @@ def test_random_strings_are_found_and_written_ones_left(spark):
     assert all(got[100 + i] == "" for i in range(len(written)))
 
 
+def test_random_strings_behind_names_and_with_dashes(spark):
+    draw = random.Random(5)
+    lower, upper, every = "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda alphabet, n: "".join(draw.choice(alphabet) for _ in range(n))
+    kinds = [("KEY=", upper, 40), ("id=", lower, 40), ("auth=", every, 40), ("host/path/", upper, 48), ("/", lower, 40), ("user-", upper, 0)]
+    made = []
+    for k in range(120):
+        name, alphabet, n = kinds[k % len(kinds)]
+        body = key(alphabet, n) if n else "-".join(key(alphabet, m) for m in (8, 8, 8, 8, 16))
+        bare = body.replace("-", "")
+        made.append((k, f"see {name}{body} here", 4 + len(name), 4 + len(name) + len(body)))
+        made.append((1000 + k, f"see {bare} here", 4, 4 + len(bare)))
+    written = ["name=internationalization2024release", "docs/chapter01/section02/paragraph03/index", "a-slug-of-some-words-from-2024-in-the-path"]
+    frame = spark.createDataFrame([m[:2] for m in made] + [(200 + i, w) for i, w in enumerate(written)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.secrets(frame).collect()}
+    spans = {k: [tuple(map(int, s.split(":")[1:])) for s in got[k].split(",") if s.startswith("random:")] for k in got}
+    hit = {k: any(start <= a and b <= end for start, end in spans[k]) for k, _, a, b in made}
+    assert all(hit[k] or not hit[1000 + k] for k in range(120))  # as good as the key alone
+    for kind in range(len(kinds)):
+        assert sum(hit[k] for k in range(kind, 120, len(kinds))) >= 15, kinds[kind]
+    assert all(got[200 + i] == "" for i in range(len(written)))
+
+
 def test_masking_keeps_columns_and_rows(docs, texts, spark):
     same = secret_scan.masked(docs)
     assert same.schema.names == docs.schema.names
