@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, digest_index, near_dedup, packing, page_extraction, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_rollup
+from . import (
+    byte_bpe,
+    digest_index,
+    near_dedup,
+    packing,
+    page_extraction,
+    prefix_trie,
+    quality_rules,
+    secret_scan,
+    spelling_groups,
+    substring_dedup,
+    suffix_dedup,
+    token_rollup,
+    url_filter,
+)
 from .shared import documents, shared_folder, stored
 
 QUERIES = {}
@@ -143,3 +157,81 @@ least_id AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_i
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least_id LEFT JOIN sizes USING (doc_id)
 """
+
+
+@query
+def op11_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups.spelling_groups(spelling_groups.vocabulary(documents(spark, folder)))
+
+
+# The unsigned CRC-32 of a text, bit by bit; 3988292384 is the reversed polynomial.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen({0}), 2),
+    lambda k: ('0x' || hex(encode({0}))[k:k + 1])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+ORACLES["op11_spelling_groups"] = rf"""
+WITH RECURSIVE run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+once AS (SELECT id, run, id || ':' || run AS marked, count(*) AS k FROM run GROUP BY ALL),
+hashed AS (SELECT run, k, {CRC32.format("marked")} AS h FROM once),
+slipped AS (SELECT k, CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT word, i, word[:i - 1] || '*' || word[i + 1:] AS s FROM cut),
+shorter AS (SELECT DISTINCT word, word[:i - 1] || word[i + 1:] AS s FROM cut),
+removed AS (SELECT shorter.word AS a, words.word AS b FROM shorter JOIN words ON shorter.s = words.word),
+near AS (SELECT a.word AS word, b.word AS near FROM holes a JOIN holes b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+         UNION SELECT a, b FROM removed UNION SELECT b, a FROM removed),
+ranked AS (SELECT near.word, near.near, w.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+           row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, near.near) AS r FROM near JOIN words w ON near.near = w.word),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * words.n THEN near END AS form,
+          CASE WHEN near_n >= 2 * words.n THEN near_n END AS form_n FROM words LEFT JOIN ranked ON words.word = ranked.word AND r = 1),
+chain AS (SELECT word, word AS root FROM forms UNION ALL
+          SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, chain.root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN chain ON forms.word = chain.word JOIN forms last ON chain.root = last.word WHERE last.form IS NULL
+"""
+
+
+SITES = [
+    url_filter.Rule("net/", "block"),
+    url_filter.Rule("example.net/en/", "allow"),
+    url_filter.Rule("example.com/de/", "block"),
+    url_filter.Rule("org/fr/", "allow"),
+]
+
+
+@query
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return url_filter.judged(pages, SITES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+ORACLES["op13_prefix_trie"] = rf"""
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+               {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS step FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS name, list(step ORDER BY i) AS steps FROM turns GROUP BY conv_id),
+marked AS (SELECT *, {CRC32.format("name")} % 9 AS h FROM own),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.steps[1:a.h], []), a.steps[a.h + 1:]) AS steps
+            FROM marked a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+member AS (SELECT conv_id, len(steps) AS n, d AS depth, sha256(CAST(steps[1:d] AS VARCHAR)) AS node,
+           CASE WHEN d > 0 THEN sha256(CAST(steps[1:d - 1] AS VARCHAR)) END AS parent, steps[d].text AS text
+           FROM (SELECT conv_id, steps, unnest(range(0, len(steps) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+          (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE strlen(any_value(text)) END AS saved,
+          sha256(coalesce(string_agg(CASE WHEN depth = n THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+          FROM member GROUP BY node, depth),
+child AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN child USING (node, depth)),
+up AS (SELECT DISTINCT below.node AS below, below.depth AS below_depth, above.node, above.depth
+       FROM member below JOIN member above ON below.conv_id = above.conv_id AND above.depth <= below.depth),
+totals AS (SELECT up.node, up.depth, count(*) FILTER (below.n_children = 0) AS n_leaves, CAST(sum(below.saved) AS BIGINT) AS saved_tokens
+           FROM up JOIN full_nodes below ON up.below = below.node AND up.below_depth = below.depth GROUP BY ALL)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, a.ends_sha256
+FROM full_nodes a JOIN totals USING (node, depth) LEFT JOIN full_nodes p ON a.parent = p.node AND a.depth = p.depth + 1
+"""

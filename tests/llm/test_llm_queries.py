@@ -21,7 +21,7 @@ def texts(spark):
 def test_all_are_registered():
     assert sorted(n for n in contract.queries() if n.startswith("op")) == sorted(QUERIES)
     assert contract.queries()["pipeline"] is corpus_pipeline.run
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
