@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..errors import SourceError
 from ..functions import col, nz
 from ..spec import SourceOptions
+from .records import Quoting, quoted_records
 
 # Common spellings of the character sets that the reader knows (fixed values).
 CHARSETS = {
@@ -71,6 +72,25 @@ class Delimited:
     rejects: DataFrame
 
 
+def _by_lines(encoding: str) -> bool:
+    """Are line ends and quotes single bytes that stand for nothing else?"""
+    return encoding.upper().startswith(("UTF-8", "ISO-8859", "US-ASCII"))
+
+
+def _decoded(c: Column, encoding: str) -> Column:
+    """Raw bytes that a scan of lines has taken for UTF-8; wrong ones become U+FFFD."""
+    if encoding.upper().startswith("UTF-8"):
+        return F.make_valid_utf8(c)
+    if encoding.upper() == "US-ASCII":
+        return F.regexp_replace(F.decode(c.cast("binary"), "ISO-8859-1"), "[\x80-\xff]", "\ufffd")
+    return F.decode(c.cast("binary"), encoding)
+
+
+def schema_text(schema: T.StructType) -> str:
+    """The schema as text; a backtick in a name is doubled."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+
+
 def _look(spark: SparkSession, path: str, encoding: str, quote: str, whole: bool) -> bool:
     """Do all files begin with the same line, and can their records be cut at line ends?
 
@@ -79,7 +99,7 @@ def _look(spark: SparkSession, path: str, encoding: str, quote: str, whole: bool
     pass over the raw lines, split over the cluster; without ``whole`` it reads
     the first block of each file only.
     """
-    if not encoding.upper().startswith(("UTF-8", "ISO-8859", "US-ASCII")):
+    if not _by_lines(encoding):
         return False
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -112,27 +132,31 @@ def read_delimited(
     """Read a file or folder of delimited text.
 
     All files must have the same header. ``multi_line=None`` looks whether quoted
-    fields span lines and splits large files when they do not; True or False says
-    so without looking. ``strict`` stops the job that meets a row with too many
-    fields, instead of setting such rows apart.
+    fields span lines. Large files are split either way: at line ends when they do
+    not, and when they do, at the line ends that ``quoted_records`` finds outside of
+    fields. False says so without looking, and True leaves each file to one
+    task. ``strict`` stops the job that meets a row with too many fields, instead of
+    setting such rows apart.
     """
     encoding = charset(encoding)
     windows = encoding == WINDOWS
     if windows:
         encoding = "ISO-8859-1"
     splittable = _look(spark, path, encoding, quotechar, multi_line is None)
+    cut = multi_line is None and not splittable and _by_lines(encoding)
     if multi_line is None:
         multi_line = not splittable
-    reader = (
-        spark.read.option("sep", delimiter)
-        .option("quote", quotechar)
-        .option("escape", quotechar)
-        .option("encoding", encoding)
-        .option("multiLine", multi_line)
-        .option("nullValue", "")
-        .option("mode", "PERMISSIVE")
-        .option("maxColumns", 100000)
-    )
+    options = {
+        "sep": delimiter,
+        "quote": quotechar,
+        "escape": quotechar,
+        "encoding": encoding,
+        "multiLine": str(multi_line).lower(),
+        "nullValue": "",
+        "mode": "PERMISSIVE",
+        "maxColumns": "100000",
+    }
+    reader = spark.read.options(**options)
     first = reader.option("header", False).csv(path).limit(1).collect()
     if not first:
         raise SourceError(f"{path} is empty")
@@ -145,14 +169,21 @@ def read_delimited(
     # other lengths keep their raw text in the record column. The length of a
     # row is only known when the parser sees all its fields, so parser-level
     # pruning is off; columns that no one needs are still not converted.
-    fields = [T.StructField(n, T.StringType()) for n in [*names, EXTRA, RECORD]]
-    raw = (
-        reader.option("header", True)
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", RECORD)
-        .schema(T.StructType(fields))
-        .csv(path)
-    )
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA, RECORD]])
+    records = None
+    if cut:
+        records = quoted_records(spark, path, Quoting(delimiter, quotechar), lambda c: _decoded(c, encoding))
+    if records is not None:
+        parsed = F.from_csv("record", schema_text(schema), options | {"columnNameOfCorruptRecord": RECORD})
+        raw = records.select(parsed.alias("row")).select("row.*")
+    else:
+        raw = (
+            reader.option("header", True)
+            .option("columnPruning", False)
+            .option("columnNameOfCorruptRecord", RECORD)
+            .schema(schema)
+            .csv(path)
+        )
     q, sep = re.escape(quotechar), re.escape(delimiter)
     unquoted = F.regexp_replace(F.col(RECORD), f"{q}(?:[^{q}]|{q}{q})*+{q}", "")
     too_long = (

@@ -1,14 +1,17 @@
 """Delimited files with all their quirks, typed tables, audits, and stored intermediates."""
 
 import datetime
+import random
 from decimal import Decimal
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from counterfoil import SourceError, as_string_table, decode_audit, profile, read_delimited, reconcile
 from counterfoil.plans import storage
 from counterfoil.sources.delimited import header_names
+from counterfoil.sources.records import states
 from counterfoil.spec import ReconSpec
 
 
@@ -135,3 +138,72 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         storage.shared_folder(cluster)
     context.master = "local[2]"
     assert storage.shared_folder(cluster)
+
+
+# -- quoted line ends: the same rows from many blocks as from one task ---------------
+
+
+@pytest.fixture
+def small_blocks(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def both_ways(spark, path, trim="", **options):
+    """The source read by blocks, equal to the one read by one task but for characters at the ends of cells."""
+    split, whole = (read_delimited(spark, path, multi_line=m, **options) for m in (None, True))
+    assert "from_csv" in split.table._jdf.queryExecution().toString()
+    cut = lambda found: sorted(([c and c.rstrip(trim or "\0") for c in r] for r in found), key=repr)
+    assert cut(split.table.collect()) == cut(whole.table.collect())
+    assert sorted(r[0] for r in split.rejects.collect()) == sorted(r[0] for r in whole.rejects.collect())
+    return split
+
+
+def test_records_over_block_borders(spark, tmp_path, small_blocks):
+    cells = ["plain", 'say ""this""', "two\nlines", "", "\n\n\n", 'end ""\n"" of', "comma, here", "long " * 60 + "\n" + "x" * 200]
+    for f in range(3):
+        lines = [f'{f}{i},"{cells[i % len(cells)]}",{"z" * (i % 5)}' for i in range(60)]
+        (tmp_path / f"{f}.csv").write_text("id,text,end\n" + "\n".join(lines) + "\n" * f)
+    split = both_ways(spark, str(tmp_path))
+    assert split.table.count() == 180
+    assert split.table.rdd.getNumPartitions() > 3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_records_with_random_quotes(spark, tmp_path, small_blocks, seed):
+    draw = random.Random(seed)
+    text = "".join(draw.choice(['"', '"', ",", "\n", "a", "bc", '""', '",', ',"', " "]) for _ in range(900))
+    (tmp_path / "a.csv").write_text('id,"te\nxt",end\n1,"x\ny",2\n' + text + '\n"')
+    both_ways(spark, str(tmp_path), trim='"')
+
+
+def test_records_in_other_character_sets(spark, tmp_path, small_blocks):
+    (tmp_path / "a.csv").write_bytes('\n\nid;näme\n1;\'é\nü\'\n2;"\n'.encode("latin-1") * 1 + b"3;\xe9" * 40 + b"\n")
+    both_ways(spark, str(tmp_path), delimiter=";", quotechar="'", encoding="latin-1")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.csv").write_bytes(b'\xef\xbb\xbf"id","n"\r\n1,"x\r\ny"\r\n\r\n2,\xff\r\n')
+    assert rows(both_ways(spark, str(tmp_path / "b"))) == [("1", "x\ny"), ("2", "\ufffd")]
+
+
+def test_lone_carriage_returns_are_left_to_the_parser(spark, file):
+    path = file('id,a\r1,"x\ry"\r2,"z\nw"\r')
+    plan = read_delimited(spark, path).table._jdf.queryExecution().toString()
+    assert "from_csv" not in plan and read_delimited(spark, path).table.count() == 2
+
+
+def test_states_of_lines_follow_from_their_functions():
+    draw = random.Random(2)
+    for _ in range(200):
+        n = draw.randint(0, 12)
+        out, inn = (np.array([draw.random() < 0.5 for _ in range(n)], bool) for _ in range(2))
+        for start in (False, True):
+            want, s = [], start
+            for k in range(n):
+                s = bool(inn[k] if s else out[k])
+                want.append(s)
+            assert states(out, inn, start).tolist() == want
