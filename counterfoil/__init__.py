@@ -1,7 +1,7 @@
 """Reconciliation of two tables on Spark: filter, normalise, join, compare, report."""
 
 from .errors import SourceError, SpecError
-from .operators.metrics import Metric
+from .operators.metrics import Metric, weighted_count
 from .operators.normalize import elementwise
 from .plans import Recon, Report, reconcile, run_job
 from .sources import as_string_table, decode_audit, profile, read_delimited, read_source
@@ -22,4 +22,5 @@ __all__ = [
     "read_source",
     "reconcile",
     "run_job",
+    "weighted_count",
 ]

@@ -30,6 +30,12 @@ WHOLE, FRACTION = "decimal(38,0)", f"decimal({FRACTION_DIGITS},{FRACTION_DIGITS}
 NUMBER_PARTS = r"\A[+-]?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?\z"
 
 
+# Most cells hold plain numbers of a moderate size, which one cast reads exactly.
+SHORT_DIGITS = 18
+SHORT_NUMBER = r"\A[+-]?[0-9]{1,18}(?:\.[0-9]{1,18})?\z"
+SHORT = f"decimal({2 * SHORT_DIGITS},{SHORT_DIGITS})"
+
+
 def number_digits(c: Column) -> Column:
     """A plain number as ``struct<minus, digits, point>`` without outer zeros, else null.
 
@@ -55,9 +61,12 @@ def number_key(c: Column) -> Column:
 
     def written(n: Column) -> Column:
         sign = F.when(n["minus"], F.lit("-")).otherwise(F.lit(""))
-        return F.concat(sign, F.lit("0."), n["digits"], F.lit("e"), n["point"].cast("string"))
+        text = F.concat(sign, F.lit("0."), n["digits"], F.lit("e"), n["point"].cast("string"))
+        short = (n["point"] <= SHORT_DIGITS) & (F.length(n["digits"]) - n["point"] <= SHORT_DIGITS)
+        return F.when(short, text.try_cast(SHORT).cast("string")).otherwise(text)
 
-    return F.coalesce(let(number_digits(c), written), c)
+    # A branch, so that the digits are taken apart only where the cast does not do.
+    return F.when(c.rlike(SHORT_NUMBER), c.try_cast(SHORT).cast("string")).otherwise(F.coalesce(let(number_digits(c), written), c))
 
 
 def exact_number(c: Column) -> Column:
@@ -81,7 +90,9 @@ def exact_number(c: Column) -> Column:
         rest = F.when(below, 1 - part).otherwise(part)
         return F.when(fits, F.struct(turned.cast(WHOLE).alias("whole"), rest.cast(FRACTION).alias("part")))
 
-    return let(number_digits(c), split)
+    short = c.try_cast(SHORT)
+    parts = F.struct(F.floor(short).cast(WHOLE).alias("whole"), (short - F.floor(short)).cast(FRACTION).alias("part"))
+    return F.when(c.rlike(SHORT_NUMBER), parts).otherwise(let(number_digits(c), split))
 
 
 def shifted(n: Column, distance: str, up: bool) -> Column:

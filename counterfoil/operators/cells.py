@@ -22,6 +22,8 @@ from .compare import CellPair, keyed_rows
 
 # Repeated keys are sent to every task only when their counted size is below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Distinct numbers of a key up to which its near pairs are counted in one grouped row.
+FEW_NUMBERS = 64
 
 
 def joins(join_type: str, n_a: Column, n_b: Column) -> Column:
@@ -150,13 +152,12 @@ def _counted_rows(
         .agg(total("a").alias("a"), total("b").alias("b"))
     )
     tolerant = [p for p in pairs if p.mapping.method == "tolerance"]
-    if tolerant:
-        texts = keep(texts)  # read once for the equal texts and once for each tolerance
     positions = [i for i, p in enumerate(pairs) if p in tolerant]
     same = a_count * b_count
     if tolerant:
-        numeric = F.col("i").isin(positions) & exact_number(F.col("t")).isNotNull()
-        same = F.when(numeric, zero).otherwise(same)
+        number = F.when(F.col("i").isin(positions), exact_number(F.col("t")))
+        texts = keep(texts.withColumn("v", number))  # read once for the equal texts and for each tolerance
+        same = F.when(F.col("v").isNotNull(), zero).otherwise(same)
     cells = texts.groupBy("key", "i").agg(
         total("a").alias("n_a"),
         total("b").alias("n_b"),
@@ -167,7 +168,8 @@ def _counted_rows(
     agreeing = F.when((n_a > 0) & (n_b > 0), F.col("same")).otherwise(F.col("empty"))
     parts = cells.select("key", "i", "n_a", "n_b", agreeing.alias("m"))
     for position, pair in zip(positions, tolerant):
-        near = _near_pairs(texts.filter(F.col("i") == position), pair.mapping.tolerance, total, keep)
+        numbers = texts.filter((F.col("i") == position) & F.col("v").isNotNull()).select("key", "v", "a", "b")
+        near = _near_pairs(numbers, pair.mapping.tolerance, total, keep)
         parts = parts.unionByName(
             near.select("key", F.lit(position).alias("i"), zero.alias("n_a"), zero.alias("n_b"), "m")
         )
@@ -182,7 +184,45 @@ def _counted_rows(
 
 
 def _near_pairs(
-    texts: DataFrame, tolerance: str, total: Callable, keep: Callable[[DataFrame], DataFrame]
+    numbers: DataFrame, tolerance: str, total: Callable, keep: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Per key: pairs of numbers (key, v, a, b) within the tolerance, counted without making them.
+
+    Most keys have few distinct numbers, and these fit into one grouped row. Only keys with more than
+    ``FEW_NUMBERS`` go the way of running sums, whose cost does not depend on how many there are.
+    """
+    sizes = keep(numbers.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW_NUMBERS))
+    size = sizes.agg(F.count(F.lit(1)).alias("keys"), F.sum(F.octet_length("key") + 32).alias("bytes")).first()
+    if not size["keys"]:
+        return _near_in_rows(numbers, tolerance, total)
+    many = sizes.select("key")
+    if size["bytes"] < BROADCAST_BYTES:
+        many = F.broadcast(many)
+    few = _near_in_rows(numbers.join(many, "key", "left_anti"), tolerance, total)
+    return few.unionByName(_near_by_sums(numbers.join(many, "key", "left_semi"), tolerance, total, keep))
+
+
+def _near_in_rows(numbers: DataFrame, tolerance: str, total: Callable) -> DataFrame:
+    """Near pairs of keys with few numbers: the numbers of B within reach of each number of A, key by key."""
+    kind = numbers.schema["a"].dataType
+    zero = F.lit(0).cast(kind)
+    v = F.col("v")
+    asked = F.struct("a", shifted(v, tolerance, False).alias("low"), shifted(v, tolerance, True).alias("high"))
+    lists = numbers.groupBy("key").agg(
+        F.collect_list(F.when(F.col("a") > 0, asked)).alias("asked"),
+        F.collect_list(F.when(F.col("b") > 0, F.struct("v", "b"))).alias("held"),
+    )
+
+    def reached(x: Column) -> Column:
+        near = F.filter("held", lambda y: (y["v"] >= x["low"]) & (y["v"] <= x["high"]))
+        return F.aggregate(near, zero, lambda s, y: (s + y["b"]).cast(kind))
+
+    pairs = F.aggregate("asked", zero, lambda s, x: (s + x["a"] * reached(x)).cast(kind))
+    return lists.select("key", pairs.alias("m"))
+
+
+def _near_by_sums(
+    numbers: DataFrame, tolerance: str, total: Callable, keep: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """Pairs of numbers of one key within the tolerance, counted without making them.
 
@@ -192,9 +232,8 @@ def _near_pairs(
     number, so a key with very many numbers is spread over tasks: the sums start
     anew in each range and the totals of the ranges before it are added.
     """
-    kind = texts.schema["a"].dataType
+    kind = numbers.schema["a"].dataType
     zero = F.lit(0).cast(kind)
-    numbers = texts.select("key", exact_number(F.col("t")).alias("v"), "a", "b").filter("v IS NOT NULL")
     of_a = numbers.filter(F.col("a") > 0)
 
     def asked(up: bool) -> DataFrame:
@@ -215,3 +254,57 @@ def _near_pairs(
     counted = events.withColumn("run", F.sum("b").over(inside)).join(sums, ["key", "range"])
     return counted.groupBy("key").agg(total(F.col("w") * (F.col("run") + F.col("before"))).alias("m"))
 
+
+def judgements(
+    df_a: DataFrame,
+    df_b: DataFrame,
+    key_a: str,
+    key_b: str,
+    pairs: Sequence[CellPair],
+    key_cells: DataFrame,
+    count_type: str = "bigint",
+) -> DataFrame:
+    """``(key, mapping_idx, column, status, diff_type, pairs)``: the details, counted per judgement.
+
+    All numbers follow from counts: agreeing pairs are those of the per-key table, pairs
+    that lack one cell are the empty cells of a side times the filled cells of the other, and what is left
+    of all pairs differs. So there are at most four rows per key and mapping, and no pair of rows is made.
+    """
+    zero = F.lit(0).cast(count_type)
+
+    def empties(df: DataFrame, key: str, side: str) -> DataFrame:
+        other = "b" if side == "a" else "a"
+        counts = [F.count_if(pair.shown(side).isNull()).cast(count_type).alias(f"e{side}{pair.index}") for pair in pairs]
+        none = [zero.alias(f"e{other}{pair.index}") for pair in pairs]
+        rows = df.filter(col(key).isNotNull()).groupBy(col(key).alias("key")).agg(*counts)
+        return rows.select("*", *none)
+
+    both = empties(df_a, key_a, "a").unionByName(empties(df_b, key_b, "b"))
+    names = [f"e{side}{pair.index}" for side in "ab" for pair in pairs]
+    empty = both.groupBy("key").agg(*(F.sum(name).cast(count_type).alias(name) for name in names))
+    cells = key_cells.filter(F.col("pairs") > 0).join(empty, "key")
+
+    def counted(pair: CellPair) -> list[Column]:
+        # A key that one side lacks is compared with one empty cell.
+        rows = {side: F.greatest(F.col(f"n_{side}"), F.lit(1)) for side in "ab"}
+        gone = {side: F.when(F.col(f"n_{side}") == 0, F.lit(1)).otherwise(F.col(f"e{side}{pair.index}")) for side in "ab"}
+        same = F.col(f"m{pair.index}")
+        lacks_a = gone["a"] * (rows["b"] - gone["b"])
+        lacks_b = (rows["a"] - gone["a"]) * gone["b"]
+        differs = "set_diff" if pair.mapping.method == "set" else "value_diff"
+        kinds = {
+            "exact_match": same, "missing_in_a": lacks_a, "missing_in_b": lacks_b, differs: F.col("pairs") - same - lacks_a - lacks_b
+        }
+        return [
+            F.struct(
+                F.lit(pair.index).alias("mapping_idx"),
+                F.lit(pair.mapping.label).alias("column"),
+                F.lit("match" if kind == "exact_match" else "mismatch").alias("status"),
+                F.lit(kind).alias("diff_type"),
+                n.cast(count_type).alias("pairs"),
+            )
+            for kind, n in kinds.items()
+        ]
+
+    rows = cells.select("key", F.inline(F.array(*(entry for pair in pairs for entry in counted(pair)))))
+    return rows.filter(F.col("pairs") > 0)

@@ -22,7 +22,7 @@ from ..functions import round2, safe_divide
 from .compare import CellPair
 from .derived import Typed, kind_of, names_in, to_column
 
-FRAMES = ("source_a", "source_b", "filtered_a", "filtered_b", "keys", "cells", "details")
+FRAMES = ("source_a", "source_b", "filtered_a", "filtered_b", "keys", "cells", "details", "collapsed", "judgements")
 # Thresholds (fixed values): mismatching cells of a risky key, rates of the bands.
 HIGH_RISK = 3
 HIGH_RATE, MEDIUM_RATE = 90, 70
@@ -32,7 +32,11 @@ HIGH_RATE, MEDIUM_RATE = 90, 70
 class Metric:
     """A scalar metric: an ``aggregate`` over a frame, or a ``formula`` over metrics.
 
-    ``formula`` gets the columns of the metrics it depends on by name.
+    ``formula`` gets the columns of the metrics it depends on by name. Three frames hold
+    the judged cells. ``details`` has a row for each, so under repeated keys it makes all
+    pairs of rows. ``judgements`` has their numbers per key, mapping and kind as
+    ``pairs`` and makes none; ``weighted_count`` counts there. ``collapsed`` has the values
+    as well, each pair of different rows once with its ``pairs``.
     """
 
     name: str
@@ -50,6 +54,11 @@ class Metric:
             raise SpecError(f"metric {self.name!r}: {self.over!r} is not one of {FRAMES}")
 
 
+def weighted_count(condition: Column) -> Column:
+    """The number of judged cells that a condition takes, over ``judgements`` or ``collapsed``."""
+    return F.coalesce(F.sum(F.when(condition, F.col("pairs"))), F.lit(0))
+
+
 def cell_mismatches(pairs: Sequence[CellPair]) -> Column:
     """Mismatching cells of a key."""
     per_mapping = [F.col("pairs") - F.col(f"m{p.index}") for p in pairs]

@@ -249,7 +249,9 @@ def as_column_function(function: Any) -> Callable[[Column], Column]:
 
     Taken are: a function from Column to Column, a (pandas) UDF, and a class or
     object whose ``normalize`` maps a pandas Series to a Series of the same
-    length cell by cell; the last runs as a vectorised UDF on Arrow batches.
+    length cell by cell; the last runs as a vectorised UDF on Arrow batches, so it
+    must not look at other cells. What depends on the whole column has ``fit`` and
+    ``apply``; see ``fitted_step``.
     """
     target = function() if inspect.isclass(function) else function
     if hasattr(target, "normalize"):
@@ -277,7 +279,10 @@ def user_steps(entry: UserNormalizer, columns: Sequence[str]) -> list[Step]:
     names = [n for n in columns if entry.columns is None or n in entry.columns]
     log = {"column": None, "rules_applied": entry.name}
     try:
-        apply = as_column_function(entry.function)
+        target = entry.function() if inspect.isclass(entry.function) else entry.function
+        if hasattr(target, "fit"):
+            return [fitted_step(target, name, {**log, "column": name}) for name in names]
+        apply = as_column_function(target)
         for name in names:
             if not isinstance(apply(col(name)), Column):
                 raise TypeError(f"'{entry.name}' does not give a Column")
@@ -287,6 +292,26 @@ def user_steps(entry: UserNormalizer, columns: Sequence[str]) -> list[Step]:
     return [Step("custom_normalizer", {n: apply for n in names}, _printed_differs, log=log)]
 
 
+def fitted_step(target: Any, name: str, log: dict) -> Step:
+    """A normaliser that looks at its whole column: ``fit`` once, then ``apply`` cell by cell.
+
+    ``fit`` gets a table whose only column ``cell`` holds the column as the steps before left it,
+    and gives a table of one row. ``apply`` gets a cell and that row as a struct, or null
+    where ``fit`` gave none. Both are plans, so the row is found by the whole cluster and does not depend on how the
+    rows lie; it is a scalar subquery and reaches the tasks as one value.
+    """
+    if not callable(getattr(target, "apply", None)):
+        raise TypeError(f"{target!r} has fit but no apply method")
+    helper = f"__fitted_{name}"
+
+    def add_fitted(df: DataFrame) -> DataFrame:
+        row = target.fit(df.select(col(name).alias("cell")))
+        return df.select("*", row.select(F.struct("*")).scalar().alias(helper))
+
+    rewrite = {name: lambda c: target.apply(c, col(helper))}
+    return Step("custom_normalizer", rewrite, _printed_differs, add_fitted, log)
+
+
 def _printed_differs(_: str, before: Column, after: Column) -> Column:
     return _text_differs(_, before.cast("string"), after.cast("string"))
 

@@ -166,6 +166,16 @@ class Recon:
             return cmp.empty_details(self.source_a)
         return cmp.details(self._joined(collapse), self.pairs, mismatches_only)
 
+    def judgements(self) -> DataFrame:
+        """The details counted per key, mapping and judgement (``pairs``), without making a pair of rows."""
+        if not self.pairs:
+            return cmp.empty_details(self.source_a).select(
+                "key", "mapping_idx", "column", "status", "diff_type", F.lit(0).cast(self.count_type).alias("pairs")
+            )
+        a, b = self._sides
+        spec = self.spec
+        return cell_ops.judgements(a, b, spec.key_a, spec.key_b, self.pairs, self.key_cells, self.count_type)
+
     def mismatches(self, collapse: bool = False) -> DataFrame:
         return self.details(mismatches_only=True, collapse=collapse)
 
@@ -221,6 +231,10 @@ class Recon:
             return self.key_status()
         if name == "details":
             return self.details()
+        if name == "collapsed":
+            return self.details(collapse=True)
+        if name == "judgements":
+            return self.judgements()
         return getattr(self, name)
 
     def metrics(self, entries: Sequence[Any] | None = None) -> DataFrame:

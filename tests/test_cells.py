@@ -5,8 +5,9 @@ from collections import defaultdict
 from decimal import Decimal, InvalidOperation
 
 import pytest
+from pyspark.sql import functions as F
 
-from counterfoil import reconcile
+from counterfoil import Metric, reconcile, weighted_count
 from counterfoil.operators import cells as cell_ops
 
 NAMES = [("p", "q", "exact"), ("s", "t", "set"), ("n", "m", "tolerance")]
@@ -157,3 +158,33 @@ def test_frequent_key_needs_no_pairs(spark):
     sevenths = [len(range(r, n, 7)) for r in range(7)]
     near = sum(min(n - 1, i + 50) - max(0, i - 50) + 1 for i in range(n))
     assert found == {"p vs q": (sum(x * x for x in sevenths), n * n), "n vs m": (near, n * n)}
+
+
+@pytest.mark.parametrize("join_type", ["inner", "left", "right", "outer"])
+def test_judgements_are_the_details_counted(spark, table, join_type):
+    draw = random.Random(8)
+    rows = lambda n: [(draw.choice(["k1", "k2", "k3", "k4", None]), draw.choice(["x", "y", None]), draw.choice(["1,2", "2,1", "3", None, "1.0"])) for _ in range(n)]
+    a, b = rows(40) + [("only a", "x", None), ("only a", None, None)], rows(30) + [("only b", None, "3")]
+    mappings = [
+        {"source_a": "v", "source_b": "v", "method": "exact"},
+        {"source_a": "w", "source_b": "w", "method": "set"},
+        {"source_a": "w", "source_b": "w", "method": "tolerance", "tolerance": "2"},
+    ]
+    job = {"schema_version": "1.0", "compare": {"key_columns": ["k"], "join_type": join_type, "column_mappings": mappings}}
+    with reconcile(table("k v w", a), table("k v w", b), job) as recon:
+        names = ["key", "mapping_idx", "column", "status", "diff_type"]
+        want = {tuple(r[n] for n in names): r["count"] for r in recon.details().groupBy(*names).count().collect()}
+        got = recon.judgements()
+        assert {tuple(r[n] for n in names): r.pairs for r in got.collect()} == want
+
+
+def test_metrics_over_judgements_make_no_pairs_of_rows(spark, table):
+    sides = [table("k v w", [("hot", str(i % 5), str(i % 3)) for i in range(900)]) for _ in range(2)]
+    job = {"schema_version": "1.0", "compare": {"key_columns": ["k"], "column_mappings": [{"source_a": c, "source_b": c} for c in "vw"]}}
+    own = (Metric("bad", "judgements", weighted_count(F.col("status") == "mismatch")),)
+    with reconcile(*sides, job, metrics=own) as recon:
+        found = recon.metrics(["bad"])
+        assert found.first().bad == 900 * 900 * (4 / 5 + 2 / 3)
+        tree = found._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in tree.splitlines() if "Join" in line]
+        assert len(joins) == 1 and tree.count("Aggregate") >= 3  # the per-key tables, one row a key on both sides

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from counterfoil import reconcile
+from counterfoil.operators import cells
 from counterfoil.functions.numbers import exact_number, number_key
 from counterfoil.operators.compare import close
 
@@ -62,7 +63,10 @@ def test_closeness(spark, tolerance):
         assert row.near == want, row
 
 
-def test_near_pairs_of_a_key_are_counted_exactly(spark, table):
+@pytest.mark.parametrize("few", [0, 64, 1 << 20])
+def test_near_pairs_of_a_key_are_counted_exactly(spark, table, monkeypatch, few):
+    """Once by running sums alone, once both ways, once in grouped rows alone."""
+    monkeypatch.setattr(cells, "FEW_NUMBERS", few)
     draw = random.Random(4)
     number = lambda: f"{draw.randint(-40, 40)}.{draw.randint(0, 99999999999):011d}"
     a = [("k", number()) for _ in range(300)] + [("j", "1"), ("j", "1.0"), ("j", "x"), ("j", None)]

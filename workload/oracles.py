@@ -552,3 +552,23 @@ ORACLES |= {
     """,
     "csv_options": "SELECT CAST(doc_id AS VARCHAR) AS id, '€ ''n'';' || lang AS \"naïve\" FROM documents",
 }
+
+# -- whole-column normalisers and judged cells by counts -----------------------------------
+
+ORACLES |= {
+    "nrm_fitted": f"""
+        WITH b AS ({sides.ORDERS_B.sql}),
+        most AS (SELECT prio FROM b WHERE prio IS NOT NULL GROUP BY prio ORDER BY count(*) DESC, prio LIMIT 1)
+        SELECT order_ref, state, coalesce(prio, (SELECT prio FROM most)) AS prio, amount, order_date FROM b
+    """,
+    "metrics_user_hot": f"""
+        WITH a AS ({sides.HOT_A.sql}), b AS ({sides.HOT_B.sql}),
+        cells_a AS (SELECT k, i, v, count(*) AS n FROM (SELECT k, 0 AS i, flag AS v FROM a UNION ALL SELECT k, 1, quantity FROM a) GROUP BY ALL),
+        cells_b AS (SELECT ref, i, v, count(*) AS n FROM (SELECT ref, 0 AS i, flag_b AS v FROM b UNION ALL SELECT ref, 1, quantity_b FROM b) GROUP BY ALL),
+        judged AS (SELECT x.i, CASE WHEN x.v IS NOT DISTINCT FROM y.v THEN 'same' WHEN x.v IS NULL OR y.v IS NULL THEN 'missing' ELSE 'other' END AS kind,
+                          sum(x.n * y.n) AS n FROM cells_a x JOIN cells_b y ON x.k = y.ref AND x.i = y.i GROUP BY ALL),
+        s AS (SELECT sum(n) FILTER (kind = 'missing') AS missing, sum(n) FILTER (kind = 'other') AS other, count(*) AS kinds FROM judged)
+        SELECT CAST(missing AS BIGINT) AS missing_cells, CAST(other AS BIGINT) AS other_cells, kinds,
+               round_even(100 * missing / CAST(missing + other AS DOUBLE), 2) AS missing_share FROM s
+    """,
+}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterfoil import Metric, Recon, ReconSpec, Report, as_string_table, decode_audit
-from counterfoil import profile, read_delimited, reconcile
+from counterfoil import profile, read_delimited, reconcile, weighted_count
 from counterfoil.operators.filters import apply_filters, filter_audit
 from counterfoil.operators.keys import duplicate_keys
 
@@ -206,6 +206,24 @@ def nrm_user_fn(spark, folder):
     return _normalized(spark, folder, sides.CUSTOMERS, rules)
 
 
+class FillMostFrequent:
+    """A caller's class that looks at its whole column: empty cells get the most frequent value."""
+
+    def fit(self, cells):
+        counted = cells.filter("cell IS NOT NULL").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        return counted.orderBy(F.desc("n"), "cell").limit(1)
+
+    def apply(self, cell, row):
+        return F.coalesce(cell, row["cell"])
+
+
+@query
+def nrm_fitted(spark, folder):
+    rules = {"custom_normalizers": [{"class": FillMostFrequent, "columns": ["prio"]}]}
+    spec = ReconSpec.from_dict(job(("order_ref", "order_ref"), [("prio", "prio")], rules=rules))
+    return normalize(sides.ORDERS_B.frame(spark, folder), spec)
+
+
 @query
 def nrm_audit(spark, folder):
     rules = {
@@ -418,6 +436,29 @@ def metrics_user(spark, folder):
     return recon.metrics(["missing_share", "longest_key", "statuses", "missing_cells"])
 
 
+@query
+def metrics_user_hot(spark, folder):
+    """Callers' aggregates over judged cells under a key with a third of all rows, without its pairs."""
+    kind = F.col("diff_type")
+    own = (
+        Metric("missing_cells", "judgements", weighted_count(kind.startswith("missing"))),
+        Metric("other_cells", "judgements", weighted_count(kind == "value_diff")),
+        Metric("kinds", "judgements", F.count_distinct("column", "diff_type")),
+        Metric(
+            "missing_share",
+            formula=lambda m: F.bround(100 * m["missing_cells"] / m["total_mismatches"], 2),
+            depends_on=("missing_cells", "total_mismatches"),
+        ),
+    )
+    recon = Recon(
+        sides.HOT_A.frame(spark, folder),
+        sides.HOT_B.frame(spark, folder),
+        ReconSpec.from_dict(job(("k", "ref"), (("flag", "flag_b"), ("quantity", "quantity_b")))),
+        metrics=own,
+    )
+    return recon.metrics([metric.name for metric in own])
+
+
 # -- keys, numbers and lists at the edges ---------------------------------------------
 
 
@@ -636,7 +677,7 @@ def cmp_tolerance(spark, folder):
 
 @query
 def cmp_tolerance_hot_key(spark, folder):
-    """Near numbers under one very frequent key, counted by range frames in buckets."""
+    """Near numbers under one very frequent key and under many keys with a few rows."""
     mapping = {"source_a": "quantity", "source_b": "quantity_b", "method": "tolerance", "tolerance": "1.5"}
     recon = reconcile(
         sides.HOT_A.frame(spark, folder), sides.HOT_B.frame(spark, folder), job(("k", "ref"), [mapping])
