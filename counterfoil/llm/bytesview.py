@@ -3,6 +3,10 @@
 Hashes are polynomials over the ring of 64-bit integers with an odd base, so a difference of
 two prefix sums times a power of the inverse base gives the hash of any slice at once. Lane 0
 and lane 1 are independent; together they make a 128-bit fingerprint.
+
+That holds for short slices only: whatever the base, two values that change places in Thue-Morse order at
+1,024 even distances leave such a polynomial as it is. Slices of more than `LONG` values are therefore
+hashed in blocks, each of which is mixed with its number before they are added up.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+LONG, BLOCK = 320, 256  # up to LONG values at most 256 places lie at even distances, which is far from 1,024
 # \x20 and \x09-\x0D: the white space of the word rule.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -59,7 +64,19 @@ class Lane:
     def between(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hash of values[start:end] for each pair."""
         _, down = self.powers(len(prefix))
-        return mix((prefix[ends] - prefix[starts]) * down[starts])
+        out = mix((prefix[ends] - prefix[starts]) * down[starts])
+        long = np.flatnonzero(np.subtract(ends, starts, dtype=np.int64) > LONG)
+        if len(long):
+            starts, ends = np.asarray(starts, np.int64)[long], np.asarray(ends, np.int64)[long]
+            counts = -(-(ends - starts) // BLOCK)
+            first = np.cumsum(counts) - counts
+            number = np.arange(counts.sum()) - np.repeat(first, counts)
+            start = np.repeat(starts, counts) + number * BLOCK
+            end = np.minimum(start + BLOCK, np.repeat(ends, counts))
+            parts = mix((prefix[end] - prefix[start]) * down[start])
+            parts = mix(parts + number.astype(U64) * self.base)
+            out[long] = mix(np.add.reduceat(parts, first) + (ends - starts).astype(U64))
+        return out
 
     def rolling(self, values: np.ndarray, width: int) -> np.ndarray:
         """The hash of each window of `width` values."""

@@ -3,10 +3,13 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from counterfoil.llm import digest_index, near_dedup, substring_dedup, suffix_dedup
 from counterfoil.llm.bwt import Collection
+from counterfoil.llm.bytesview import LANES, chunks
 from counterfoil.llm.components import components
 from counterfoil.llm.queries import new_index
 
@@ -158,3 +161,35 @@ def test_empty_tables(spark, empty):
     assert rows(digest_index.deduplicate(empty, new_index(spark), "b")) == []
     for operator in (near_dedup.near_duplicates, substring_dedup.repeated_words, suffix_dedup.repeated_bytes):
         assert rows(operator(empty)) == []
+
+
+def thue_morse(one, other, n):
+    """Two sequences that swap two values in Thue-Morse order."""
+    order = [bin(i).count("1") % 2 for i in range(n)]
+    return [[(one, other)[k] for k in order], [(other, one)[k] for k in order]]
+
+
+def test_texts_of_one_polynomial_are_different_texts(spark):
+    """Pairs without a common string of 200 bytes, or window of 50 words, that no base of a polynomial tells apart."""
+    draw = random.Random(9)
+    gap = lambda n: "".join(draw.choice("cdefghijk") for _ in range(n))
+    gaps = [gap(7) for _ in range(1024)]
+    first, second = ("".join(map("".join, zip(side, gaps))) for side in thue_morse("a", "b", 1024))
+    texts = [(1, first), (2, second)]
+    got = rows(suffix_dedup.repeated_bytes(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == sorted(brute.repeated_bytes(texts), key=str) and got[0][2] < 8192
+    words = [(i + 1, " ".join(w for pair in zip(side, map(str, range(1024))) for w in pair)) for i, side in enumerate(thue_morse("one", "two", 1024))]
+    want = brute.repeated_words(words)
+    assert {r[0]: tuple(r)[1:] for r in substring_dedup.repeated_words(spark.createDataFrame(words, "doc_id long, text string")).collect()} == want
+    assert want[2][1] == 0
+
+
+def test_lines_of_one_polynomial_are_different_lines(spark):
+    lines = "\n".join("".join(side) for side in thue_morse("a", "b", 2048))
+    assert brute.quality_counts(lines)[3] == 0
+    chunk = next(chunks(pa.array([lines + "\n" + lines])))
+    family = LANES[0]
+    prefix = family.prefix(family.table[chunk.data])
+    bounds = np.array([0, 2049, 4098, 6147])
+    names = family.between(prefix, bounds, bounds + 2048)
+    assert names[0] != names[1] and names[0] == names[2] and names[1] == names[3]
