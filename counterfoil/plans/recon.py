@@ -194,6 +194,10 @@ class Recon:
             self.count_type,
         )
 
+    def stored(self, df: DataFrame) -> DataFrame:
+        """The rows, stored until ``close``."""
+        return self._keep(df)
+
     def _keep(self, df: DataFrame) -> DataFrame:
         self._kept.append(new_path(self.spark))
         return keep(df, self._kept[-1])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,27 @@ class Report:
         """One row: how many rows the whole section has."""
         return self.section(name).agg(F.count(F.lit(1)).alias("rows"))
 
+    def positions(self, name: str) -> DataFrame:
+        """The rows of a section with their ``position`` (from 1) in its order, numbered by all tasks.
+
+        The rows are dealt by ranges of the order and stored; each range counts on from the
+        number of rows in the ranges before it, which is one row per range.
+        """
+        order = ORDER[name]
+        dealt = self.section(name).repartitionByRange(*order).sortWithinPartitions(*order)
+        kept = self.recon.stored(dealt.withColumn("_at", F.monotonically_increasing_id()))
+        kept = kept.withColumn("_range", F.shiftright("_at", 33))
+        ranges = kept.groupBy("_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        placed = kept.join(F.broadcast(ranges), "_range")  # a row per range, as many as tasks wrote
+        position = F.col("_at") - F.col("_first") + F.col("_before") + 1
+        return placed.withColumn("position", position).drop("_at", "_range", "_first", "_rows", "_before")
+
+    def page(self, name: str, first: int, n: int) -> DataFrame:
+        """Rows ``first`` to ``first + n - 1`` of a section in its order."""
+        return self.positions(name).filter(F.col("position").between(first, first + n - 1))
+
     def banded_breakdown(self) -> DataFrame:
         """The per-column breakdown with its rate as high, medium or low."""
         breakdown = self.recon.per_column()

@@ -119,6 +119,19 @@ def _look(spark: SparkSession, path: str, encoding: str, quote: str, whole: bool
     return not any(row["odd"] for row in found)
 
 
+def _same_first_records(rows: DataFrame) -> None:
+    """Files whose lines a plain scan can't read: their first records, as the parser gives them, must be equal.
+
+    This is a pass over all files of the folder, with one record per file in the shuffle.
+    """
+    cells = F.to_json(F.array(*(F.ltrim(col(c), F.lit("\ufeff")) for c in rows.columns)))
+    placed = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), cells.alias("header"))
+    heads = placed.groupBy("file").agg(F.min_by("header", "at").alias("header"))
+    found = heads.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").limit(2).collect()
+    if len(found) > 1:
+        raise SourceError(f"the headers of {found[0]['file']} and {found[1]['file']} differ")
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -160,6 +173,8 @@ def read_delimited(
     first = reader.option("header", False).csv(path).limit(1).collect()
     if not first:
         raise SourceError(f"{path} is empty")
+    if not _by_lines(encoding):
+        _same_first_records(reader.option("header", False).csv(path))
     names = header_names([_as_windows(cell) if windows and cell else cell for cell in first[0]])
     unknown = [name for name in use_columns or () if name not in names]
     if unknown:

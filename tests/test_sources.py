@@ -48,6 +48,16 @@ def test_files_of_a_folder_must_share_their_header(spark, tmp_path):
             read_delimited(spark, str(tmp_path), multi_line=multi_line)
 
 
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-32"])
+def test_files_of_wide_characters_must_share_their_header(spark, tmp_path, encoding):
+    (tmp_path / "a.csv").write_bytes("id,name\n1,x\n".encode(encoding))
+    (tmp_path / "b.csv").write_bytes("id,name\n2,y\n3,z\n".encode(encoding))
+    assert read_delimited(spark, str(tmp_path), encoding=encoding).table.count() == 3
+    (tmp_path / "c.csv").write_bytes("name,id\nz,3\n".encode(encoding))
+    with pytest.raises(SourceError, match="headers"):
+        read_delimited(spark, str(tmp_path), encoding=encoding)
+
+
 def test_windows_characters(spark, tmp_path):
     path = tmp_path / "w.csv"
     path.write_bytes("näme;x\n€ “q”;\x9d\n".encode("cp1252", errors="ignore") + b"\x9d;1\n")

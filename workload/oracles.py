@@ -572,3 +572,32 @@ ORACLES |= {
                round_even(100 * missing / CAST(missing + other AS DOUBLE), 2) AS missing_share FROM s
     """,
 }
+
+# -- operators that only tests reached before ------------------------------------------------
+
+ORACLES |= {
+    "details_page": f"""
+        {D} {STATUS}, bad AS (SELECT key, mapping_idx, row_number() OVER (ORDER BY key, mapping_idx) AS position
+                              FROM d WHERE status = 'mismatch')
+        SELECT CAST(position AS BIGINT) AS position, key, mapping_idx FROM bad WHERE position BETWEEN 101 AND 150
+    """,
+    "csv_bom": sides.CUSTOMERS.sql,
+    "nrm_elementwise": _each(sides.CUSTOMERS, {"name": "reverse(name)"}),
+    "metrics_object": f"""
+        {D} {STATUS} {BY_KEY} SELECT round_even(bad_cells / CAST(matched AS DOUBLE), 3) AS mismatches_per_key,
+                                     matched AS matched_keys FROM m0
+    """,
+    "missing_mapping": f"""
+        WITH a AS ({sides.ORDERS_A.sql}), b AS ({sides.ORDERS_B.sql}), j AS (SELECT * FROM a JOIN b ON k = order_ref),
+        c AS (SELECT 'status vs state' AS "column", status IS NOT DISTINCT FROM state AS same FROM j
+              UNION ALL SELECT 'odate vs order_date', odate IS NOT DISTINCT FROM order_date FROM j)
+        SELECT "column", count(*) FILTER (same) AS matched, count(*) FILTER (NOT same) AS mismatched, NULL AS told FROM c GROUP BY "column"
+        UNION ALL SELECT 'no_such_column', NULL, NULL, 'column_missing b'
+    """,
+    "filter_log_written": f"""
+        WITH a AS ({sides.ORDERS_A.sql})
+        SELECT 'source_a' AS source, 'equals' AS operator, 'skip' AS action, count(*) AS rows_before,
+               count(*) FILTER (status <> 'P') AS rows_after, count(*) FILTER (status = 'P') AS rows_affected FROM a
+        UNION ALL SELECT 'source_b', NULL, 'no_rules', count(*), count(*), 0 FROM ({sides.ORDERS_B.sql})
+    """,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from counterfoil import Metric, Recon, ReconSpec, Report, as_string_table, decode_audit
+from counterfoil import Metric, Recon, ReconSpec, Report, as_string_table, decode_audit, elementwise
 from counterfoil import profile, read_delimited, reconcile, weighted_count
 from counterfoil.operators.filters import apply_filters, filter_audit
 from counterfoil.operators.keys import duplicate_keys
@@ -217,6 +217,13 @@ class FillMostFrequent:
         return F.coalesce(cell, row["cell"])
 
 
+@query
+def nrm_elementwise(spark, folder):
+    """A caller's function on single values."""
+    rules = {"custom_normalizers": [{"function": elementwise(lambda cell: cell and cell[::-1]), "columns": ["name"]}]}
+    return _normalized(spark, folder, sides.CUSTOMERS, rules)
+
+
 @query
 def nrm_fitted(spark, folder):
     rules = {"custom_normalizers": [{"class": FillMostFrequent, "columns": ["prio"]}]}
@@ -459,6 +466,42 @@ def metrics_user_hot(spark, folder):
     return recon.metrics([metric.name for metric in own])
 
 
+class MismatchesPerKey:
+    """A caller's metric object over built-in metrics."""
+
+    depends_on = ("total_mismatches", "matched_keys")
+
+    def compute(self, m):
+        return F.bround(m["total_mismatches"] / m["matched_keys"], 3)
+
+
+@query
+def metrics_object(spark, folder):
+    return orders(spark, folder).metrics([{"name": "mismatches_per_key", "plugin": MismatchesPerKey()}, "matched_keys"])
+
+
+@query
+def missing_mapping(spark, folder):
+    """A mapping whose column one side lacks is left out of the comparison and told in the error log."""
+    columns = [("status", "state"), ("price", "no_such_column"), ("odate", "order_date")]
+    recon = reconcile(
+        sides.ORDERS_A.frame(spark, folder), sides.ORDERS_B.frame(spark, folder), job(("k", "order_ref"), columns)
+    )
+    errors = recon.error_log().select("column", F.concat_ws(" ", "error_type", "source").alias("told"))
+    return recon.per_column().select("column", "matched", "mismatched").unionByName(errors, allowMissingColumns=True)
+
+
+@query
+def filter_log_written(spark, folder):
+    """The log as it stands in its file."""
+    path = scratch(spark) + "/log"
+    filters = {"source_a": [rule("status", "equals", "P", "skip")]}
+    Report(orders(spark, folder, filters=filters)).write(path, sections=("filter_log",))
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{path}/filter_log")
+    counts = [F.col(c).cast("long").alias(c) for c in ("rows_before", "rows_after", "rows_affected")]
+    return back.filter("stage = 'filter'").select("source", "operator", "action", *counts)
+
+
 # -- keys, numbers and lists at the edges ---------------------------------------------
 
 
@@ -492,10 +535,16 @@ def details_empty_side(spark, folder):
 
 @query
 def unmatched_ordered(spark, folder):
-    """Positions of the report's unmatched keys in its order."""
-    section = Report(orders(spark, folder)).section("unmatched_records")
-    by_source = Window.partitionBy("source").orderBy("key")
-    return section.select("source", "key", F.row_number().over(by_source).alias("position"))
+    """Positions of the report's unmatched keys in its order, counted for each source."""
+    placed = Report(orders(spark, folder)).positions("unmatched_records").select("source", "key", "position")
+    first = placed.groupBy("source").agg(F.min("position").alias("first"))  # two rows
+    return placed.join(F.broadcast(first), "source").select("source", "key", (F.col("position") - F.col("first") + 1).alias("position"))
+
+
+@query
+def details_page(spark, folder):
+    """Rows 101 to 150 of the report's mismatches in its order."""
+    return Report(orders(spark, folder)).page("mismatch_details", 101, 50).select("position", "key", "mapping_idx")
 
 
 @query
@@ -567,6 +616,16 @@ def _uneven_file(spark: SparkSession, folder: str) -> str:
     return path
 
 
+@query
+def csv_bom(spark, folder):
+    """Files that begin with a byte order mark, two of them so that both headers carry one."""
+    path = scratch(spark) + "/marked"
+    line = F.concat_ws(",", "k", "name", "segment")
+    lines = sides.CUSTOMERS.frame(spark, folder).select(line.alias("\ufeffk,name,segment"))
+    lines.repartition(2, "\ufeffk,name,segment").write.option("header", True).option("sep", "\x01").option("quote", "\x02").csv(path)
+    return read_delimited(spark, path).table
+
+
 @query
 def csv_rejects(spark, folder):
     return read_delimited(spark, _uneven_file(spark, folder)).rejects
