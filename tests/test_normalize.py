@@ -158,3 +158,23 @@ def test_only_needed_columns_are_read(spark, tmp_path):
 def test_wrong_rules(rules):
     with pytest.raises(SpecError):
         spec(**rules)
+
+
+def test_a_normaliser_with_fit_sees_its_whole_column_at_any_partitioning(spark, table):
+    class FillMostFrequent:
+        def fit(self, cells):
+            return cells.filter("cell IS NOT NULL").groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(1)
+
+        def apply(self, cell, row):
+            return F.coalesce(cell, row["cell"])
+
+    rules = {"custom_normalizers": [{"class": FillMostFrequent, "columns": ["v", "w"]}]}
+    spec = ReconSpec.from_dict({
+        "schema_version": "1.0",
+        "compare": {"key_columns": ["k"], "column_mappings": [{"source_a": "v", "source_b": "v"}]},
+        "normalization_rules": rules,
+    })
+    rows = [(str(i), None if i % 3 == 0 else "ab"[i % 5 == 0], None) for i in range(60)]
+    want = sorted((k, v or "a", w) for k, v, w in rows)
+    for n in (1, 20):
+        assert sorted(map(tuple, nrm.normalize(table("k v w", rows).repartition(n), spec).collect())) == want
