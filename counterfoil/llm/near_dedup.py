@@ -6,10 +6,10 @@ sends all shingles to coordinate j, so every coordinate is filled for certain, a
 done after a few rounds. Bands of coordinates give buckets.
 
 Links are those of the buckets, confirmed on the full sets. In each bucket all members are first
-held against one pivot. Only members whose components still differ afterwards are compared with
-each other, so a bucket of n members of one component costs n comparisons and no link between
-bucket mates in different components is lost. Equal sets are one node throughout. Before that, such
-members are held against a few more pivots in some rounds, which leaves few of them in large groups.
+held against one pivot, and members of buckets with several components against a few more pivots in
+some rounds. What is still in such buckets then goes through an exact prefix join on shingles ordered by
+rarity, which finds every link that is left, so a bucket of n members costs some n comparisons and no link
+between bucket mates in different components is lost. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesview import LANES, U64, Chunk, chunks, mix, word_hashes, words
@@ -26,7 +26,7 @@ from .components import components
 from .shared import stored
 
 FULL = U64(2**64 - 1)
-ROUNDS = 2  # of further pivots at most; what they leave open is compared pair by pair
+ROUNDS = 2  # of further pivots at most; what they leave open goes through the prefix join
 
 
 @dataclass(frozen=True)
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, banding: Banding = Bandi
             break
         links = links.union(fresh)
         labels = components(links)
-    rest = stored(_open_pairs(_mixed(shared, labels), percent).join(tried, ["a", "b"], "left_anti"))
+    rest = stored(_open_pairs(_mixed(shared, labels), known, percent, width).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = components(links.union(confirmed(rest, known, percent, width)))
 
@@ -232,13 +232,57 @@ def _further_pivots(mixed: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "pick").alias("a"), F.greatest("node", "pick").alias("b")).distinct()
 
 
-def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of bucket mates in different components whose sizes allow the similarity.
+def shingle_rows(docs: DataFrame, width: int = 5) -> DataFrame:
+    """node, shingle for each distinct shingle of each document."""
 
-    Members outside the bucket's largest component meet all others; those inside it don't meet each other.
+    def run(batches):
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                values, bounds = shingle_sets(chunk, width)
+                owner = np.repeat(np.arange(chunk.rows), np.diff(bounds))
+                nodes = batch.column("doc_id").slice(chunk.first, chunk.rows).take(pa.array(owner))
+                yield pa.record_batch([nodes, pa.array(values.view(np.int64))], ["node", "shingle"])
+
+    return _texts(docs).mapInArrow(run, "node long, shingle long")
+
+
+def _open_pairs(mixed: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs of members in different components that may be similar; all that are similar are among them.
+
+    An exact prefix join. All shingles have one order: first those of one component alone, then the others
+    from rare to frequent. If two sets are similar, their first common shingle is among the first of both,
+    n - ceil(2p / (100 + p) n) + 1 of the smaller set of n and n - ceil(p / 100 n) + 1 of the larger one, and
+    no more may follow it than the overlap leaves. Sets that share only the common part of a group have that part
+    last, so they don't meet, however large the group is.
     """
-    minor = mixed.filter("component != major").select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "n_shingles", "component")])
-    small, large = F.least("n_shingles", "_n_shingles"), F.greatest("n_shingles", "_n_shingles")
-    once = (F.col("component") == F.col("major")) | (F.col("_node") < F.col("node"))
-    met = minor.join(mixed, "bucket").filter((F.col("component") != F.col("_component")) & once & (100 * small >= percent * large))
-    return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+    nodes = stored(mixed.select("node", "n_shingles", "component").distinct())
+    grams = stored(shingle_rows(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width))
+    owned = grams.join(nodes.select("node", "component"), "node")
+    held = owned.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    met = grams.join(held.filter("low != high").select("shingle", "n"), "shingle")
+    lists = met.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("n", "shingle")))["shingle"].alias("shared"))
+    size = F.col("n_shingles")
+    lists = lists.join(nodes, "node").withColumn("alone", size - F.size("shared"))
+
+    def prefix(least: Column, mark: str) -> DataFrame:
+        """The first size - least + 1 shingles, of which those that meet no other component are left out."""
+        length = F.greatest(size - least + 1 - F.col("alone"), F.lit(0)).cast("int")
+        spread = lists.select("node", "n_shingles", "component", "alone", F.posexplode(F.slice("shared", F.lit(1), length)))
+        return spread.select(
+            F.col("col").alias("shingle"), F.col("node").alias(f"{mark}node"), size.alias(f"{mark}size"),
+            F.col("component").alias(f"{mark}part"), (size - F.col("alone") - F.col("pos")).alias(f"{mark}left"),
+        )
+
+    small = prefix(_ceil(2 * percent * size, 100 + percent), "s_")
+    large = prefix(_ceil(percent * size, 100), "l_")
+    overlap = _ceil(percent * (F.col("s_size") + F.col("l_size")), 100 + percent)
+    once = (F.col("s_size") < F.col("l_size")) | ((F.col("s_size") == F.col("l_size")) & (F.col("s_node") < F.col("l_node")))
+    fits = (100 * F.col("s_size") >= percent * F.col("l_size")) & (F.least("s_left", "l_left") >= overlap)
+    pairs = small.join(large, (small["shingle"] == large["shingle"]) & (F.col("s_part") != F.col("l_part")) & once & fits)
+    return pairs.select(F.least("s_node", "l_node").alias("a"), F.greatest("s_node", "l_node").alias("b")).distinct()
+
+
+def _ceil(value: Column, by: int) -> Column:
+    return F.floor((value + (by - 1)) / by)

@@ -71,6 +71,32 @@ def test_near_dedup_of_chains_in_one_bucket(spark):
     assert got == brute.near_groups(chain)
 
 
+def test_prefix_join_finds_all_similar_pairs_and_few_others(spark):
+    """Copies with changes of any size, some rows twice; and a group that shares three quarters of its words only."""
+    draw = random.Random(3)
+    base = [str(draw.random()) for _ in range(90)]
+    made = []
+    for i in range(70):
+        words = list(base[: draw.randint(50, 90)])
+        for _ in range(draw.choice([0, 1, 2, 4, 8])):
+            words[draw.randrange(len(words))] = str(draw.random())
+        made.append((i, " ".join(words)))
+    group = [(100 + i, " ".join(base[:75] + [str(draw.random()) for _ in range(25)])) for i in range(60)]
+
+    def pairs(rows):
+        sets = {i: brute.shingles(t) for i, t in rows}
+        parts = [("x", i, len(v), i // 2) for i, v in sets.items()]  # neighbours are in one component
+        mixed = spark.createDataFrame(parts, "bucket string, node long, n_shingles long, component long")
+        frame = spark.createDataFrame(rows + rows[:20], "doc_id long, text string")
+        found = {tuple(r) for r in near_dedup._open_pairs(mixed, frame, 75, 5).collect()}
+        like = lambda x, y: 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])
+        return found, {(x, y) for x in sets for y in sets if x < y and x // 2 != y // 2 and like(x, y)}
+
+    found, want = pairs(made)
+    assert want <= found and len(want) > 100
+    assert pairs(group) == (set(), set())
+
+
 def test_sketch_fills_every_coordinate_and_estimates():
     import numpy as np
 
