@@ -4,7 +4,7 @@ from .errors import SourceError, SpecError
 from .operators.metrics import Metric, weighted_count
 from .operators.normalize import elementwise
 from .plans import Recon, Report, reconcile, run_job
-from .sources import as_string_table, decode_audit, profile, read_delimited, read_source
+from .sources import as_string_table, damaged_cells, decode_audit, profile, read_delimited, read_source
 from .spec import ReconSpec
 
 __all__ = [
@@ -15,6 +15,7 @@ __all__ = [
     "SourceError",
     "SpecError",
     "as_string_table",
+    "damaged_cells",
     "decode_audit",
     "elementwise",
     "profile",

@@ -7,8 +7,10 @@ code of the stage that uses it.
 from __future__ import annotations
 
 import re
+import sys
 import warnings
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,17 +54,32 @@ def blank(c: Column) -> Column:
     return strip(nz(c)) == F.lit("")
 
 
+@cache
+def _title_forms() -> dict[str, str]:
+    """Letters whose title form is not their upper form, such as those for dz, and the title forms."""
+    letters = (chr(c) for c in range(128, sys.maxunicode + 1))
+    return {c: c.title() for c in letters if c.title() != c.upper()}
+
+
+def _title_form(letter: Column) -> Column:
+    """The title form of one character; plain letters are not looked up."""
+    forms = F.create_map(*[F.lit(part) for pair in _title_forms().items() for part in pair])
+    return F.when(F.ascii(letter) < 128, F.upper(letter)).otherwise(
+        F.coalesce(F.try_element_at(forms, letter), F.upper(letter))
+    )
+
+
 def title_case(c: Column) -> Column:
-    """Upper-case every letter that follows a non-letter, lower-case the rest.
+    """Title form for every letter that follows a non-letter, lower case for the rest.
 
-    ``initcap`` restarts at blanks only; here ``o'neil`` becomes ``O'Neil``.
+    ``initcap`` restarts at blanks only; here ``o'neil`` becomes ``O'Neil``. Whether a
+    sigma is the last of its word is seen from the letters that touch it.
     """
     cased = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
     runs = F.regexp_extract_all(c, F.lit(f"([{cased}]+|[^{cased}]+)"), F.lit(1))
-    titled = F.transform(
-        runs,
-        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))),
-    )
+    # The letter in front of the rest says to a sigma that it is inside a word.
+    rest = lambda w: F.substr(F.lower(F.concat(F.lit("a"), F.substr(w, F.lit(2)))), F.lit(2))
+    titled = F.transform(runs, lambda w: F.concat(_title_form(F.substring(w, 1, 1)), rest(w)))
     return F.array_join(titled, "")
 
 

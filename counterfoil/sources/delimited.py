@@ -8,7 +8,7 @@ filled with nulls, and rows with too many fields are set apart as rejects.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -151,12 +151,27 @@ def read_delimited(
     task. ``strict`` stops the job that meets a row with too many fields, instead of
     setting such rows apart.
     """
+    return _read(spark, path, delimiter, quotechar, encoding, use_columns, multi_line, strict)
+
+
+def _read(
+    spark: SparkSession,
+    path: str,
+    delimiter: str,
+    quotechar: str,
+    encoding: str,
+    use_columns: Sequence[str] | None = None,
+    multi_line: bool | None = None,
+    strict: bool = False,
+    decoder: Callable[[Column], Column] | None = None,
+) -> Delimited:
+    """What `read_delimited` does; a `decoder` makes the text of each line from its bytes, where lines can be cut."""
     encoding = charset(encoding)
     windows = encoding == WINDOWS
     if windows:
         encoding = "ISO-8859-1"
     splittable = _look(spark, path, encoding, quotechar, multi_line is None)
-    cut = multi_line is None and not splittable and _by_lines(encoding)
+    cut = multi_line is None and (decoder is not None or not splittable) and _by_lines(encoding)
     if multi_line is None:
         multi_line = not splittable
     options = {
@@ -187,7 +202,7 @@ def read_delimited(
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA, RECORD]])
     records = None
     if cut:
-        records = quoted_records(spark, path, Quoting(delimiter, quotechar), lambda c: _decoded(c, encoding))
+        records = quoted_records(spark, path, Quoting(delimiter, quotechar), decoder or (lambda c: _decoded(c, encoding)))
     if records is not None:
         parsed = F.from_csv("record", schema_text(schema), options | {"columnNameOfCorruptRecord": RECORD})
         raw = records.select(parsed.alias("row")).select("row.*")
@@ -242,11 +257,29 @@ def read_source(spark: SparkSession, options: SourceOptions, **reading: bool) ->
     )
 
 
+def damaged_cells(
+    spark: SparkSession, path: str, delimiter: str = ",", quotechar: str = '"', encoding: str = "utf-8"
+) -> DataFrame:
+    """``(column, damaged_cells)``: cells of a file that hold bytes which are no text in its character set.
+
+    In UTF-8 the bytes themselves are looked at, so a U+FFFD that stands in the file is no
+    damage. In character sets of one byte there is no such character. In UTF-16 and UTF-32, and in files
+    with lone carriage returns, it can't be told from damage and counts as such. Rows with too many
+    fields are not counted.
+    """
+    decoder = None
+    if charset(encoding).upper().startswith("UTF-8"):
+        # U+FFFE is no character, so it can stand for the genuine U+FFFD until the cells are counted.
+        decoder = lambda c: F.make_valid_utf8(F.replace(c, F.lit("\ufffd"), F.lit("\ufffe")))
+    return decode_audit(_read(spark, path, delimiter, quotechar, encoding, decoder=decoder).table)
+
+
 def decode_audit(df: DataFrame) -> DataFrame:
     """``(column, damaged_cells)``: cells with characters lost in decoding.
 
     Bytes that are wrong for the chosen character set become U+FFFD, so a
-    count above zero says that the encoding should be another one.
+    count above zero says that the encoding should be another one, unless the text
+    held that character; ``damaged_cells`` looks at the bytes of the file instead.
     """
     counts = df.agg(
         F.array(

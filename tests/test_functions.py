@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import unicodedata
 import warnings
 
 import pandas as pd
@@ -97,6 +98,15 @@ def test_title_case(apply):
     assert apply(title_case, cells) == [c.title() if c else c for c in cells]
 
 
+def test_title_case_of_all_letters(apply):
+    # Spark, Java and Python know different editions of Unicode: letters of an old one, but two that got an upper form lately.
+    old = unicodedata.ucd_3_2_0.category
+    letters = [chr(c) for c in range(0x11000) if old(chr(c)) not in ("Cn", "Cs") and c not in (0x19B, 0x264)]
+    cells = [f"{c}b {c}{c} 1{c}" for c in letters] + ["ΟΔΟΣ ΑΣ Σ ΣΣ", "ǅ ǆA ßa ﬁX აბ"]
+    differ = [c for c, got in zip(cells, apply(title_case, cells)) if got != c.title()]
+    assert differ == []
+
+
 def test_numbers_in_cells(apply):
     cells = [" 12 ", "1e3", "+5", ".5", "5.", "1.0d", "1f", "nan", "0x1F", "1_000", "1,000", "1e400",
              " inf ", "inf", "-Infinity", "", None, "12\n", " 5"]

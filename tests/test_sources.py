@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 
-from counterfoil import SourceError, as_string_table, decode_audit, profile, read_delimited, reconcile
+from counterfoil import SourceError, as_string_table, damaged_cells, decode_audit, profile, read_delimited, reconcile
 from counterfoil.plans import storage
 from counterfoil.sources.delimited import header_names
 from counterfoil.sources.records import states
@@ -106,6 +106,22 @@ def test_encodings_and_decode_audit(spark, file):
     assert rows(read_delimited(spark, wide, encoding="utf-16")) == [("é", "1")]
 
 
+def test_damage_is_seen_in_the_bytes(spark, tmp_path):
+    path = str(tmp_path / "f.csv")
+    body = 'a,b\n\ufffd,é\n"x\n\ufffdy",@\n@,@\n,z\n1,2,@\n'.encode().replace(b"@", b"\xe9")
+    (tmp_path / "f.csv").write_bytes(body)
+
+    def found(encoding):
+        return {r.column: r.damaged_cells for r in damaged_cells(spark, path, encoding=encoding).collect()}
+
+    assert found("utf-8") == {"a": 1, "b": 2}
+    assert {r.column: r.damaged_cells for r in decode_audit(read_delimited(spark, path).table).collect()} == {"a": 3, "b": 2}
+    assert found("latin-1") == {"a": 0, "b": 0}
+    (tmp_path / "f.csv").write_bytes(b"a,b\n\x81,\xe9\n")
+    assert found("cp1252") == {"a": 1, "b": 0}
+    assert found("ascii") == {"a": 1, "b": 1}
+
+
 def test_source_options_override_shared_ones():
     spec = ReconSpec.from_dict({
         "schema_version": "1.0",

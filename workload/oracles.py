@@ -442,6 +442,14 @@ ORACLES |= {
         f" OR ('{c}' = 'text' AND doc_id % 7 = 0)) AS damaged_cells FROM documents"
         for c in ("doc_id", "text", "lang", "source", "n_chars")
     ),
+    "damaged_bytes": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) FILTER ('{c}' = 'text' AND doc_id % 7 = 0) AS damaged_cells FROM documents"
+        for c in ("doc_id", "text", "source")
+    ),
+    "title_forms": """
+        SELECT CAST(doc_id AS VARCHAR) AS k,
+               ['\u01c5', 'Ss', 'Fi', 'X'][doc_id % 4 + 1] || 'ab' || lower(lang) AS word FROM documents
+    """,
     "report_sections": f"""
         {D} {STATUS} SELECT 'summary' AS section, CAST(10 AS BIGINT) AS rows
         UNION ALL SELECT 'mismatch_details', count(*) FROM d WHERE status = 'mismatch'

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from counterfoil import Metric, Recon, ReconSpec, Report, as_string_table, decode_audit, elementwise
+from counterfoil import Metric, Recon, ReconSpec, Report, as_string_table, damaged_cells, decode_audit, elementwise
 from counterfoil import profile, read_delimited, reconcile, weighted_count
 from counterfoil.operators.filters import apply_filters, filter_audit
 from counterfoil.operators.keys import duplicate_keys
@@ -644,6 +644,30 @@ def decode_audits(spark, folder):
     return decode_audit(as_string_table(docs.withColumn("text", lost)))
 
 
+@query
+def damaged_bytes(spark, folder):
+    """Documents in a file, some with a cut character and some with a U+FFFD of their own, which is no damage."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    own = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, "\ufffd").otherwise("."))
+    as_bytes = F.decode(F.encode(own, "UTF-8"), "ISO-8859-1")  # a character for each byte
+    cut = F.when(F.col("doc_id") % 7 == 0, F.lit("\xe3\x81")).otherwise(F.lit(""))
+    path = scratch(spark) + "/damaged"
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    writer = docs.select("doc_id", F.concat(as_bytes, cut).alias("text"), "source").write.options(**kept)
+    writer.option("header", True).option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
+    return damaged_cells(spark, path)
+
+
+@query
+def title_forms(spark, folder):
+    """Words of the documents behind letters whose title form is not their upper form."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    first = F.element_at(F.array(F.lit("\u01c6"), F.lit("\xdf"), F.lit("\ufb01"), F.lit("x")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("k"), F.concat(first, F.lit("AB"), "lang").alias("word"))
+    rules = {"global_cleaning": {"case_normalize": "title"}}
+    return normalize(rows, ReconSpec.from_dict(job(("k", "k"), [("k", "k")], rules=rules)))
+
+
 @query
 def report_contents(spark, folder):
     """The two large sections as they stand in the files."""
