@@ -74,17 +74,25 @@ class DigestIndex:
             self._append(fresh.withColumn("batch_id", F.lit(batch_id)).select(names))
         return self.rows().filter(F.col("batch_id") == batch_id)
 
+    def held(self, classes: DataFrame) -> DataFrame:
+        """digest, keep_id, group_size of the digests of `classes`; only these are shuffled, not the index."""
+        asked = classes.select("digest").hint("merge")
+        return self.rows().join(asked, "digest", "left_semi").select("digest", "keep_id", "group_size")
+
 
 def deduplicate(docs: DataFrame, index: DigestIndex, batch_id: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each document of the batch.
 
     Ties of length go to the smaller doc_id. A text that an earlier batch holds keeps that
     batch's document; group_size counts the batch in which the text came first. Rows with equal
-    doc_id and text are both kept rows.
+    doc_id and text are both kept rows. Null texts are empty ones, and texts may have any length. What is read of
+    the index goes with the batch: its rows meet the index in the index's buckets, and what they find is then
+    joined with the documents, where a text with very many copies can be split.
     """
     marked = stored(fingerprints(docs))
-    index.add(best_per_digest(marked), batch_id)
-    known = stored(index.rows().select("digest", "keep_id", "group_size"))
+    classes = stored(best_per_digest(marked))
+    index.add(classes, batch_id)
+    known = stored(index.held(classes))
     return marked.join(known, "digest").select(
         "doc_id",
         "keep_id",

@@ -7,6 +7,8 @@ batch again replaces its own rows only, which makes a repeated commit harmless.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +76,14 @@ class TokenRollup:
         self.spark, self.folder = spark, folder
 
     def commit(self, batch_id: str, events: DataFrame) -> None:
-        """Write the batch's signed rows in place of any that an earlier try of the batch left."""
-        rows = signed(events).withColumn("batch_id", F.lit(batch_id)).repartition(1)  # a row per group
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch_id").parquet(self.folder)
+        """Write the batch's signed rows in place of any that an earlier try of the batch left.
+
+        A batch without events leaves no rows. The rows of a try that fails are not seen, as they lie in
+        Spark's temporary folder until all of them are written; the batch is then to be tried again.
+        """
+        if not batch_id:
+            raise ValueError("a batch needs an id")
+        signed(events).write.mode("overwrite").parquet(f"{self.folder}/batch_id={quote(batch_id, safe='')}")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens; groups without documents or tokens are left out."""

@@ -47,6 +47,19 @@ def test_index_keeps_earlier_batches_and_commits_once(spark):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_index_is_not_shuffled_for_a_batch(spark, docs, texts):
+    index = new_index(spark)
+    frame = docs.filter("doc_id % 2 = 0")
+    known = {r.text_sha256: r.keep_id for r in digest_index.deduplicate(frame, index, "half").collect()}
+    got = digest_index.deduplicate(docs, index, "all").collect()
+    best = {row[4]: row[1] for row in exact_groups(texts)}
+    assert {r.text_sha256: r.keep_id for r in got} == best | known
+    classes = digest_index.best_per_digest(digest_index.fingerprints(docs))
+    plan = index.held(classes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(digest") == 1  # that of the batch
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+
+
 def test_near_dedup(docs, texts):
     want = brute.near_groups({i: (i, t) for i, t in texts if i is not None}.values())
     got = rows(near_dedup.near_duplicates(docs))

@@ -88,6 +88,16 @@ def test_pipeline(spark, texts):
     assert {r.doc_id for r in packed} == set(masked)
 
 
+def test_namesakes_are_judged_by_their_texts(spark):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    near = [word("a", 60), word("a", 61), word("a", 62)]
+    rows = [(3, near[0]), (5, near[1]), (5, word("u", 50)), (None, near[2]), (None, word("v", 50)), (None, word("v", 50)), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS _number", "'y' AS _id")
+    left = [tuple(r)[:2] for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()]
+    assert sum(t in near for _, t in left) == 1
+    assert sorted((r for r in left if r[1] not in near), key=str) == sorted((r for r in rows if r[1] not in near), key=str)
+
+
 def test_pipeline_on_empty_documents(spark):
     frame = documents(spark, FOLDER).limit(0)
     for _, stage in corpus_pipeline.STAGES:

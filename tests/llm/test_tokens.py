@@ -60,6 +60,13 @@ def test_rollup(spark):
     assert sorted(map(tuple, rollup.totals().collect()), key=str) == [("s", "en", "v1", 1, 9), ("s", None, "v1", 1, 7)]
     rollup.commit("a", token_rollup.inserts(frame((1, "s", "en", 5)), "v1"))
     assert ("s", None, "v1", 1, 7) not in map(tuple, rollup.totals().collect())
+    for batch in ("a", "c"):  # tried again, now without events
+        rollup.commit(batch, token_rollup.inserts(frame(), "v1"))
+    rollup.commit("b/1 %=x", token_rollup.inserts(frame((4, "u", "en", 2)), "v1"))
+    got = sorted(map(tuple, rollup.totals().collect()), key=str)
+    assert got == [("t", "en", "v1", -1, -1), ("u", "en", "v1", 1, 2)]
+    with pytest.raises(ValueError):
+        rollup.commit("", token_rollup.inserts(frame(), "v1"))
 
 
 def test_unknown_events_stop_the_job(spark):
