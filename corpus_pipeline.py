@@ -28,10 +28,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that similarity links; those without a doc_id stay."""
-    groups = near_dedup.near_duplicates(docs)
-    dropped = stored(groups.filter("NOT kept").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group that similarity links.
+
+    Rows that share a doc_id with another text, and rows without one, go by a number of doc_id and text, so
+    that each text is judged by itself; rows equal in both stay or go together.
+    """
+    content = F.xxhash64("text")
+    texts = docs.groupBy("doc_id").agg(F.min(content).alias("low"), F.max(content).alias("high"))
+    several = stored(texts.filter("doc_id IS NULL OR low != high").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_several")))
+    number = F.when(several["_several"], F.xxhash64(F.lit("row"), docs["doc_id"], docs["text"])).otherwise(docs["doc_id"])
+    row = F.struct(*[docs[n] for n in docs.columns]).alias("_row")
+    numbered = docs.join(several, docs["doc_id"].eqNullSafe(several["_id"]), "left").select(row, number.alias("_number"))
+    groups = near_dedup.near_duplicates(numbered.select(F.col("_number").alias("doc_id"), "_row.text"))
+    dropped = stored(groups.filter("NOT kept").select(F.col("doc_id").alias("_number")).distinct())
+    return numbered.join(dropped, "_number", "left_anti").select("_row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +64,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`; the result is that of the packing.
+
+    A null text is an empty one, which the quality rules reject; texts may have any length. Of repeated rows with
+    equal doc_id and text all or none are left. Further columns are carried along, whatever their names, and an
+    empty table gives no rows.
+    """
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
