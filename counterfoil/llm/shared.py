@@ -32,5 +32,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """The same rows as a table with buckets of a column, so that a join by it moves the other side only."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("compression", "zstd").saveAsTable(name, format="parquet")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.table(name)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")

@@ -210,6 +210,37 @@ def test_long_repeats_of_the_host_go_block_by_block(spark):
     assert got == {r[:2]: w for r, w in zip(rows, want)}
 
 
+def test_repeats_that_other_pages_hold_inside_longer_blocks(spark):
+    letter = "if you like what you read here leave your address for our letter"
+    own = lambda k: " ".join(f"{c}{k}" for c in "abcdefghijklmnop")
+    rows = [
+        (1, "http://h/1", f"<article><p>{own(1)}</p><div>{letter}</div></article>"),
+        (2, "http://h/2", f"<article><p>{own(2)} {letter} {own(20)}</p></article>"),
+        (3, "http://h/3", f"<article><p>{own(3)} {letter[:30]}</p><p>{letter[30:]} {own(30)}</p></article>"),
+        (4, "http://open/4", f"<p>{own(4)}</p><p>{letter}</p>"),
+        (5, "http://open/5", f"<article><p>{own(5)} {letter} {own(50)}</p></article>"),
+        (6, "http://h/1", f"<article><p>{own(1)}</p><div>{letter}</div></article>"),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_extraction.main_text(frame).collect()}
+    # The letter stands in three main texts of h, and on two pages of open, one of which has no main element.
+    assert got == {
+        1: own(1), 2: f"{own(2)} {letter} {own(20)}", 3: f"{own(3)} {letter} {own(30)}",
+        4: own(4), 5: f"{own(5)} {letter} {own(50)}", 6: own(1),
+    }
+
+
+def test_pages_of_a_repeat_are_counted_exactly(spark):
+    # Two of these three once fell on the same marks in maps of 64 places.
+    letter = "if you like what you read here leave your address for our letter"
+    own = {k: " ".join(f"{c}{k}" for c in "abcdefghijklmnop") for k in (141, 2228, 7)}
+    rows = [(k, f"http://h/{k}", f"<article><p>{t}</p><div>{letter}</div></article>") for k, t in own.items()]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in page_extraction.main_text(frame).collect()} == own
+    two = page_extraction.main_text(frame.filter("page_id != 7"))
+    assert {r.page_id: r.text for r in two.collect()} == {k: f"{own[k]} {letter}" for k in (141, 2228)}
+
+
 def test_articles_of_the_pages(spark):
     folder = "/root/testdata/sf0.001"
     pages = spark.read.parquet(f"{folder}/pages.parquet")
