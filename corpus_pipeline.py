@@ -24,7 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = digest_index.deduplicate(docs, new_index(spark), "documents").filter("NOT kept")
     copies = stored(found.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct())
     same = (digest_index.digest(docs["text"]) == copies["_digest"]) & docs["doc_id"].eqNullSafe(copies["_id"])
-    return docs.join(copies, same, "left_anti")
+    # Dealt out at any size, and looked up there, so that the texts are not sorted.
+    return docs.join(copies.hint("shuffle_hash"), same, "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

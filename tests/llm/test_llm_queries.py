@@ -103,3 +103,11 @@ def test_pipeline_on_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         frame = stored(stage(spark, frame, FOLDER))
         assert frame.count() == 0
+
+
+def test_few_copies_are_dropped_by_the_plan_that_many_take(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c"), (None, "c ")], "doc_id long, text string")
+    left = corpus_pipeline.drop_copies(spark, docs, FOLDER)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r.text, r.doc_id) for r in left.collect()) == [("a  b", 2), ("c ", None)]
