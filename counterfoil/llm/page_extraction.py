@@ -34,6 +34,8 @@ BLOCKS = "array<struct<kind: int, block: string, size: int>>"
 GRAM = 3  # tokens of an anchor
 BUCKETS = 32  # files of pages for each task that reads them
 MARKS = 1 << 29  # bits of a filter at most
+CUT = 24  # bits of a fingerprint that a filter does without, to shuffle less
+SHIFTS = (0, 11)  # where the two places in a filter begin in the bits that are left
 SLICE = 1 << 20  # bytes of text that are hashed at a time, give or take a page
 
 # Different pages on which a string must stand to be no text of an open page, or of a main
@@ -129,13 +131,14 @@ def _site(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _anchor_counts(read: DataFrame, depth: int) -> DataFrame:
-    """anchor, n (pages) and asked (1 if it stands in text that can be main text) for parts of the pages."""
+    """anchor (its upper bits), n (pages) and asked (1 if it stands in text that can be main text) for parts of the pages."""
 
     def run(batches):
         for batch in batches:
             site, wanted = _site(batch), batch.column("wanted").to_numpy()
             for some in _tokens(batch, depth):
                 anchor, first, _ = some.anchors(depth, site)
+                anchor = anchor >> U64(CUT)
                 page = some.page[first]
                 asked = some.kind[first] == wanted[page]
                 order = np.lexsort((page, anchor))
@@ -152,13 +155,13 @@ def _anchor_counts(read: DataFrame, depth: int) -> DataFrame:
 
 
 def _marks(found: DataFrame) -> Broadcast:
-    """A Bloom filter of the fingerprints in the only column of `found`, of at most MARKS bits.
+    """A Bloom filter of the upper bits of fingerprints in the only column of `found`, of at most MARKS bits.
 
     Beyond MARKS / 16 fingerprints more strings pass that can't repeat, which costs time and disk and changes no result.
     """
     (name,) = found.columns
     size = min(MARKS, max(1 << 16, 1 << (16 * found.count()).bit_length()))
-    place = F.explode(F.array(*[F.shiftright(name, k).bitwiseAND(size - 1) for k in (0, 32)])).alias("place")
+    place = F.explode(F.array(*[F.shiftright(name, k).bitwiseAND(size - 1) for k in SHIFTS])).alias("place")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))
     words = found.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     marks = np.zeros(size >> 6, np.int64)
@@ -169,8 +172,8 @@ def _marks(found: DataFrame) -> Broadcast:
 def _marked(marks: np.ndarray, prints: np.ndarray) -> np.ndarray:
     """Whether each fingerprint may be among those that were marked."""
     found = np.ones(len(prints), bool)
-    for k in (0, 32):
-        place = (prints >> U64(k)) & U64(64 * len(marks) - 1)
+    for k in SHIFTS:
+        place = (prints >> U64(CUT + k)) & U64(64 * len(marks) - 1)
         found &= (marks[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
     return found
 
@@ -256,9 +259,9 @@ def main_text(pages: DataFrame, depth: int = 10) -> DataFrame:
 
     anchors = _anchor_counts(searched, depth).groupBy("anchor").agg(F.sum("n").alias("_n"), F.max("asked").alias("_asked"))
     anchors = _marks(stored(anchors.filter("_n > 1 AND _asked = 1").select("anchor")))
-    twice = _strings(searched, depth, anchors).groupBy("head_a")
+    twice = _strings(searched, depth, anchors).groupBy(F.shiftrightunsigned("head_a", CUT).alias("head"))
     twice = twice.agg(F.min("shown").alias("_low"), F.max("shown").alias("_high"), F.max("asked").alias("_asked"))
-    twice = _marks(stored(twice.filter("_low != _high AND _asked >= 0").select("head_a")))
+    twice = _marks(stored(twice.filter("_low != _high AND _asked >= 0").select("head")))
     hits = stored(_strings(searched, depth, anchors, twice))
 
     heads, named = ["head_a", "head_b"], hits.join(groups.drop("same"), "number")
