@@ -82,8 +82,12 @@ class Lane:
         """The hash of each window of `width` values."""
         if len(values) < width:
             return np.zeros(0, U64)
-        prefix, (_, down) = self.prefix(values), self.powers(len(values))
-        return mix((prefix[width:] - prefix[:-width]) * down[: len(values) - width + 1])
+        return self.windows(self.prefix(values), width)
+
+    def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
+        """The hash of each window of at most LONG values, from prefix sums of `width` values or more."""
+        _, down = self.powers(len(prefix))
+        return mix((prefix[width:] - prefix[:-width]) * down[: len(prefix) - width])
 
 
 LANES = (Lane(11), Lane(23))

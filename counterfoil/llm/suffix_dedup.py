@@ -10,6 +10,8 @@ and not by the longest document. Segments come about like this:
 * Anchors that stand at one place only are left out, as their windows can't repeat.
 * Equal segments are one segment with a count. Where an anchor has one segment only, or a segment
   stands at several places, the count tells that its windows repeat.
+* In a collection a short number stands for the bytes of an anchor, since each window of a segment holds
+  its whole anchor. That leaves fewer columns and shorter ones, and equal windows stay equal.
 * An anchor with very many different segments (a passage common to many documents) is not put into
   one collection. Its segments are cut into parts of a few windows each, by the place of the anchor in
   the window. The bytes that all windows of a part share take the anchor's place, and the parts are
@@ -35,6 +37,7 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 MANY = 256  # different segments of an anchor beyond which they are cut further
 PART = 13  # windows in a part
 COLLECTION = 1 << 20  # bytes of segments in a collection, give or take an anchor's
+CACHED = 1 << 18  # bytes of text whose fingerprints are made at a time, give or take a text
 RUNS = "array<struct<first: int, last: int>>"
 
 
@@ -65,7 +68,7 @@ def repeated_bytes(docs: DataFrame, size: int = 200) -> DataFrame:
 
     segments = _segments(work, size).groupBy("anchor", "seg_a", "seg_b")
     distinct = stored(segments.agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("place", "segment")]))
-    decided = stored(_repeats(distinct, size, _by_parts))
+    decided = stored(_repeats(distinct, size, _width(size), _by_parts))
 
     covered = _segments(work, size, with_bytes=False).join(decided, ["seg_a", "seg_b"])
     covered = covered.select("text_a", _moved().alias("runs"))
@@ -95,20 +98,25 @@ def _moved() -> Column:
     return F.transform("runs", lambda r: F.struct((first + r["first"]).alias("first"), (first + r["last"]).alias("last")))
 
 
-def _repeats(distinct: DataFrame, size: int, further) -> DataFrame:
+def _repeats(distinct: DataFrame, size: int, width: int, further) -> DataFrame:
     """seg_a, seg_b, runs of windows that repeat, for different segments with their numbers of places.
 
-    `further` judges those of anchors with very many kinds.
+    All windows of a segment hold the `width` bytes at its `place`. `further` judges those of anchors with very many kinds.
     """
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     groups = stored(groups.filter("kinds > 1 AND least = 1").select("anchor", "kinds"))
     open_ones = stored(distinct.join(groups, "anchor"))
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.length("segment") - size).alias("last")))
     decided = distinct.filter("n > 1").select("seg_a", "seg_b", whole.cast(RUNS).alias("runs"))
-    decided = decided.union(_by_transform(open_ones.filter(F.col("kinds") <= MANY), size))
+    decided = decided.union(_by_transform(open_ones.filter(F.col("kinds") <= MANY), size, width))
     return decided.union(further(open_ones.filter(F.col("kinds") > MANY), size))
 
 
+def _width(size: int) -> int:
+    """Bytes of an anchor."""
+    return max(2, size * 12 // 25)
+
+
 def _prints(chunk: Chunk, lane: int) -> np.ndarray:
     return LANES[lane].prefix(LANES[lane].table[chunk.data])
 
@@ -121,7 +129,7 @@ def _names(chunk: Chunk) -> list[np.ndarray]:
 def _whole(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), CACHED):
                 ids = [batch.column(name).slice(chunk.first, chunk.rows) for name in ("doc_id", "rid")]
                 digests = pa.array([hashlib.sha256(chunk.text(i)).hexdigest() for i in range(chunk.rows)])
                 columns = [*ids, pa.array(np.diff(chunk.bounds)), *map(signed, _names(chunk)), digests]
@@ -132,16 +140,16 @@ def _whole(texts: DataFrame) -> DataFrame:
 
 def _anchors(texts: DataFrame, size: int) -> DataFrame:
     """anchor, text_a, first, last, place: windows that begin at first to last have the anchor at first + place."""
-    width = max(2, size * 12 // 25)
+    width = _width(size)
 
     def run(batches):
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), CACHED):
                 n = len(chunk.data)
                 if n < size:
                     continue
                 prefix = _prints(chunk, 0)
-                prints = LANES[0].between(prefix, np.arange(n - width + 1), np.arange(width, n + 1))
+                prints = LANES[0].windows(prefix, width)
                 minima = leftmost_minima(prints, size - width + 1)
                 row = np.repeat(np.arange(chunk.rows), np.diff(chunk.bounds))
                 inside = np.flatnonzero(row[: len(minima)] == row[size - 1 :])
@@ -162,7 +170,7 @@ def _segments(work: DataFrame, size: int, with_bytes: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), CACHED):
                 regions = batch.column("regions").slice(chunk.first, chunk.rows)
                 names = batch.column("text_a").slice(chunk.first, chunk.rows).to_numpy()
                 # A doc_id that stands for several texts has met the regions of all of them.
@@ -186,15 +194,37 @@ def _segments(work: DataFrame, size: int, with_bytes: bool = True) -> DataFrame:
     return work.mapInArrow(run, schema)
 
 
-def _by_transform(segments: DataFrame, size: int) -> DataFrame:
+def _shortened(segments: list[bytes], places: list[int], width: int) -> tuple[list[bytes], int]:
+    """Segments with a mark and a number for the `width` bytes at their places, and by how much each is shorter.
+
+    The mark stands in no segment, so two strings that hold it and are equal hold it at the same place, with
+    the same number behind it, which stands for the same bytes.
+    """
+    cores = [segment[at : at + width] for segment, at in zip(segments, places)]
+    number = {core: k for k, core in enumerate(dict.fromkeys(cores))}
+    digits = 1
+    while 128**digits < len(number):
+        digits += 1
+    used = np.bincount(np.frombuffer(b"".join(segments), np.uint8), minlength=256) > 0
+    used[:128] = True
+    if width <= digits + 1 or used.sum() > 254:
+        return segments, 0
+    mark = int(np.flatnonzero(~used)[0])
+    codes = {core: bytes([mark, *(k >> 7 * d & 127 for d in range(digits))]) for core, k in number.items()}
+    short = [s[:at] + codes[core] + s[at + width :] for s, at, core in zip(segments, places, cores)]
+    return short, width - digits - 1
+
+
+def _by_transform(segments: DataFrame, size: int, width: int) -> DataFrame:
     """seg_a, seg_b, runs of windows that repeat, for segments that stand at one place."""
     total = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
     dealt = segments.repartition(max(1, total // COLLECTION), "anchor").sortWithinPartitions("anchor")
 
     def judged(rows: list[tuple]) -> pa.RecordBatch:
-        marks = Collection([row[4] for row in rows], size).repeats()
+        short, less = _shortened([row[4] for row in rows], [row[5] for row in rows], width)
+        marks = Collection(short, size - less).repeats()
         out = []
-        for (_, seg_a, seg_b, n, _), mark in zip(rows, marks):
+        for (_, seg_a, seg_b, n, _, _), mark in zip(rows, marks):
             if n == 1 and mark.any():
                 found = np.flatnonzero(np.diff(mark.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
                 out.append((seg_a, seg_b, [{"first": a, "last": b - 1} for a, b in found.tolist()]))
@@ -214,7 +244,7 @@ def _by_transform(segments: DataFrame, size: int) -> DataFrame:
         if rows:
             yield judged(rows)
 
-    return dealt.select("anchor", "seg_a", "seg_b", "n", "segment").mapInArrow(run, f"seg_a long, seg_b long, runs {RUNS}")
+    return dealt.select("anchor", "seg_a", "seg_b", "n", "segment", "place").mapInArrow(run, f"seg_a long, seg_b long, runs {RUNS}")
 
 
 def _by_parts(segments: DataFrame, size: int) -> DataFrame:
@@ -241,17 +271,18 @@ def _by_parts(segments: DataFrame, size: int) -> DataFrame:
                 data = chunk.data.tobytes()
                 cut = pa.array([data[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary())
                 kept = given.select(["seg_a", "seg_b", "n"]).take(pa.array(row))
-                columns = [*kept.columns, *map(signed, [shared, *prints]), pa.array(first.astype(np.int32)), cut]
+                numbers = [pa.array(x.astype(np.int32)) for x in (first, core - start)]
+                columns = [*kept.columns, *map(signed, [shared, *prints]), *numbers, cut]
                 yield pa.record_batch(columns, names)
 
-    schema = "seg_a long, seg_b long, n long, anchor long, part_a long, part_b long, first int, segment binary"
+    schema = "seg_a long, seg_b long, n long, anchor long, part_a long, part_b long, first int, place int, segment binary"
     names = [part.split()[0] for part in schema.split(", ")]
     parts = stored(segments.select("seg_a", "seg_b", "n", "place", "segment").mapInArrow(run, schema))
     distinct = parts.groupBy("anchor", F.col("part_a").alias("seg_a"), F.col("part_b").alias("seg_b"))
-    distinct = stored(distinct.agg(F.sum("n").alias("n"), F.first("segment").alias("segment")))
-    decided = stored(_repeats(distinct, size, _by_windows))
+    distinct = stored(distinct.agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("place", "segment")]))
+    decided = stored(_repeats(distinct, size, size - PART + 1, _by_windows))
     decided = decided.select(F.col("seg_a").alias("part_a"), F.col("seg_b").alias("part_b"), "runs")
-    found = parts.drop("segment").join(decided, ["part_a", "part_b"]).select("seg_a", "seg_b", _moved().alias("runs"))
+    found = parts.drop("place", "segment").join(decided, ["part_a", "part_b"]).select("seg_a", "seg_b", _moved().alias("runs"))
     return found.groupBy("seg_a", "seg_b").agg(F.flatten(F.collect_list("runs")).cast(RUNS).alias("runs"))
 
 

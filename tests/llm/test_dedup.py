@@ -232,3 +232,28 @@ def test_lines_of_one_polynomial_are_different_lines(spark):
     bounds = np.array([0, 2049, 4098, 6147])
     names = family.between(prefix, bounds, bounds + 2048)
     assert names[0] != names[1] and names[0] == names[2] and names[1] == names[3]
+
+
+def test_numbers_stand_for_the_anchors_in_a_collection(monkeypatch):
+    """Marks are those of the whole segments, and the columns fewer, also of texts that are no UTF-8."""
+    draw = random.Random(8)
+    some = lambda n, of: bytes(draw.choice(of) for _ in range(n))
+    for of in (b"ab", b"a\x00\xff", bytes(range(256)), bytes(range(200))):
+        segments, places = [], []
+        for core in [some(20, of) for _ in range(150)]:
+            left, right = some(12, of), some(12, of)
+            for _ in range(3):
+                a, b = draw.randint(8, 12), draw.randint(8, 12)
+                segments.append(some(2, of) + left[-a:] + core + right[:b])
+                places.append(a + 2)
+        short, less = suffix_dedup._shortened(segments, places, 20)
+        if len(of) == 256:
+            assert (short, less) == (segments, 0)
+            continue
+        assert less == 17 and [len(s) for s in short] == [len(s) - less for s in segments]
+        want = [m.tolist() for m in Collection(segments, 36).repeats()]
+        got = [m.tolist() for m in Collection(short, 36 - less).repeats()]
+        # Strings that hold their anchor, as those of a segment in a corpus do.
+        holds = [[k <= at and at + 20 <= k + 36 for k in range(len(s) - 35)] for s, at in zip(segments, places)]
+        assert [[x and h for x, h in zip(*z)] for z in zip(got, holds)] == [[x and h for x, h in zip(*z)] for z in zip(want, holds)]
+    assert suffix_dedup._shortened([b"abc", b"bcd"], [1, 0], 2) == ([b"abc", b"bcd"], 0)
