@@ -172,6 +172,28 @@ def test_the_model_tells_hosts_apart(spark):
     assert (got[300], got[301]) == ("block", "allow")
 
 
+def test_no_table_of_urls_or_strings_is_sent_to_all_tasks(spark, monkeypatch):
+    """Spark takes the strings of urls for as small as their packed urls and would broadcast them; at size they don't fit the driver."""
+    plans, kept = [], url_filter.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return kept(df)
+
+    monkeypatch.setattr(url_filter, "stored", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        pages = [(i, f"http://host{i % 9}.example.{'com/de' if i % 2 else 'org/fr'}/{i}") for i in range(400)]
+        judged = url_filter.judged(spark.createDataFrame(pages, "page_id long, url string"), SITES)
+        assert judged.count() == 400
+        plans.append(judged._jdf.queryExecution().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(plan.count("SortMergeJoin") for plan in plans) == 14
+    assert not any("Broadcast" in plan for plan in plans)
+
+
 @pytest.mark.parametrize("rules", [SITES, [Rule("net/", "block")], []])
 def test_urls_without_examples_of_both_kinds_are_allowed(spark, rules):
     pages = [(1, "http://a.net/x"), (2, "http://b.info/y")]
