@@ -22,6 +22,10 @@ from .compare import CellPair, keyed_rows
 
 # Repeated keys are sent to every task only when their counted size is below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Where they are more, keys with more rows than this are sent to every task all the same: there can't be many.
+HOT_ROWS = 100_000
+# Rows of the other ones that a task counts; with more, sorting and counting wrest the memory from each other.
+TASK_ROWS = 250_000
 # Distinct numbers of a key up to which its near pairs are counted in one grouped row.
 FEW_NUMBERS = 64
 
@@ -71,21 +75,39 @@ def build_key_cells(
 
     first = keep(_single_rows(a, b, pairs, join_type, count_type))
     repeated = ((n_a > 1) | (n_b > 1)) & joins(join_type, n_a, n_b)
+    hot = repeated & (n_a + n_b > HOT_ROWS)
+    bytes_of, zero = F.octet_length("key") + 32, F.lit(0)
     size = first.filter(repeated).agg(
-        F.count(F.lit(1)).alias("keys"), F.sum(F.octet_length("key") + 32).alias("bytes")
+        F.count(F.lit(1)).alias("keys"),
+        F.sum(bytes_of).alias("bytes"),
+        F.coalesce(F.sum(F.when(hot, bytes_of)), zero).alias("hot_bytes"),
+        F.coalesce(F.sum(F.when(~hot, n_a + n_b)), zero).alias("rows"),
     ).first()
     cells = first
     if pairs and size["keys"] > 0:
-        chosen = first.filter(repeated).select("key")
+
+        def keys(condition: Column) -> DataFrame:
+            return first.filter(condition).select("key")
+
         if size["bytes"] < BROADCAST_BYTES:
-            chosen = F.broadcast(chosen)
-        counted = _counted_rows(
-            a.join(chosen, "key", "left_semi"),
-            b.join(chosen, "key", "left_semi"),
-            pairs,
-            count_type,
-            keep,
-        )
+            few = F.broadcast(keys(repeated))
+            counted = _counted_rows(*(rows.join(few, "key", "left_semi") for rows in (a, b)), pairs, count_type, keep)
+        else:
+            # Here rows are dealt out by key, and all of a hot key would meet in one task; so hot keys go the way above.
+            # The number of tasks follows the rows, since packed bytes say little about the memory they take.
+            tasks = int(size["rows"]) // TASK_ROWS + 1
+            many, sides = keys(repeated & ~hot), (a, b)
+            if size["hot_bytes"] > 0:
+                few = keys(hot)
+                if size["hot_bytes"] < BROADCAST_BYTES:
+                    few = F.broadcast(few)
+                sides = tuple(rows.join(few, "key", "left_anti") for rows in (a, b))
+            many = many.repartition(tasks, "key").hint("merge")
+            sides = (rows.repartition(tasks, "key").join(many, "key", "left_semi") for rows in sides)
+            counted = _counted_rows(*sides, pairs, count_type, keep)
+            if size["hot_bytes"] > 0:
+                sides = (rows.join(few, "key", "left_semi") for rows in (a, b))
+                counted = counted.unionByName(_counted_rows(*sides, pairs, count_type, keep))
         cells = first.filter(~repeated).unionByName(counted)
     return cells.select(
         "key", "n_a", "n_b", row_pairs(join_type, n_a, n_b).alias("pairs"), *matched

@@ -127,6 +127,39 @@ def test_counts_and_details_equal_brute_force(table, join_type, broadcast, monke
     recon.close()
 
 
+@pytest.mark.parametrize("join_type", ["inner", "outer"])
+def test_rows_of_a_hot_key_do_not_meet_in_one_task(spark, table, join_type, monkeypatch):
+    """With too many repeated keys for a broadcast the rows are dealt out by key, but for those of hot keys."""
+    monkeypatch.setattr(cell_ops, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(cell_ops, "HOT_ROWS", 120, raising=False)
+    monkeypatch.setattr(cell_ops, "TASK_ROWS", 50, raising=False)
+    shares, counted = [], cell_ops._counted_rows
+
+    def seen(a, b, *more):
+        for rows in (a, b):
+            task = F.spark_partition_id().alias("task")
+            sizes = [r["count"] for r in rows.filter("key = 'hot'").groupBy(task).count().collect()]
+            shares.append(max(sizes) / sum(sizes) if sizes else 0)
+        return counted(a, b, *more)
+
+    monkeypatch.setattr(cell_ops, "_counted_rows", seen)
+    rnd = random.Random(join_type)
+    rows_a, rows_b = random_rows(rnd, 300), random_rows(rnd, 300)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        with reconcile(table("k p s n", rows_a), table("ref q t m", rows_b), job(join_type)) as recon:
+            columns = {r.column: (r.matched, r.total_compared) for r in recon.per_column().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    wanted = brute(rows_a, rows_b, join_type)
+    assert columns == {
+        f"{a} vs {b}": (sum(k == "exact_match" for _, j, k in wanted if j == i), len(wanted) // 3)
+        for i, (a, b, _) in enumerate(NAMES)
+    }
+    assert 0 < max(shares) < 0.5
+
+
 def test_swapping_the_sides_mirrors_the_details(table):
     rnd = random.Random(7)
     rows_a, rows_b = random_rows(rnd, 40), random_rows(rnd, 40)
