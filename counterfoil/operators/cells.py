@@ -94,8 +94,10 @@ def build_key_cells(
             counted = _counted_rows(*(rows.join(few, "key", "left_semi") for rows in (a, b)), pairs, count_type, keep)
         else:
             # Here rows are dealt out by key, and all of a hot key would meet in one task; so hot keys go the way above.
-            # The number of tasks follows the rows, since packed bytes say little about the memory they take.
-            tasks = int(size["rows"]) // TASK_ROWS + 1
+            # The number of tasks follows the rows, since packed bytes say little about the memory they take; with fewer tasks
+            # than the session's, Spark would join in as many as that and deal out the rows once more.
+            least = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            tasks = max(least, int(size["rows"]) // TASK_ROWS + 1)
             many, sides = keys(repeated & ~hot), (a, b)
             if size["hot_bytes"] > 0:
                 few = keys(hot)
